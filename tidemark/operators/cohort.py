@@ -71,6 +71,10 @@ def attrition(
     """Ordered (step_no, step, n).  One pass over the stays, one over the cohort."""
     los = los_hours if los_hours is not None else F.col("los") * 24.0
     stays = icustays.withColumn("_los", los)
+
+    def step(no: int, name: str, count: str) -> Column:
+        return F.struct(F.lit(no).alias("step_no"), F.lit(name).alias("step"), F.col(count).alias("n"))
+
     rank = F.struct(*[part for c in order for part in (F.col(c).isNull(), F.col(c))])
     per_entity = stays.groupBy(entity).agg(
         F.count(F.lit(1)).alias("_n"), F.min_by("_los", rank).alias("_first_los")
@@ -84,10 +88,8 @@ def attrition(
     steps = totals.select(
         F.explode(
             F.array(
-                F.struct(F.lit(1).alias("step_no"), F.lit("all stays").alias("step"), F.col("stays").alias("n")),
-                F.struct(F.lit(2), F.lit("distinct patients"), F.col("entities")),
-                F.struct(F.lit(3), F.lit("first stay per patient"), F.col("first")),
-                F.struct(F.lit(4), F.lit("minimum length of stay"), F.col("long_enough")),
+                step(1, "all stays", "stays"), step(2, "distinct patients", "entities"),
+                step(3, "first stay per patient", "first"), step(4, "minimum length of stay", "long_enough"),
             )
         ).alias("s")
     ).select("s.*")

@@ -177,7 +177,9 @@ def explode_hours(intervals: DataFrame, start: str, end: str, max_hours: float)
     """One row per hour from floor(start) to ceil(end), cut to [0, max]; empty intervals vanish."""
     lo = F.greatest(F.floor(start), F.lit(0))
     hi = F.least(F.ceil(end), F.lit(int(max_hours)))
-    return intervals.where(lo <= hi).withColumn("hours", F.explode(F.sequence(lo, hi)).cast("double"))
+    return intervals.where(lo <= hi).withColumn("_h", F.explode(F.sequence(lo, hi))).withColumn(
+        "hours", F.col("_h").cast("double")
+    ).drop("_h")
 
 
 def vasopressor_rates(

@@ -89,9 +89,10 @@ def hourly_panel(
 
     The dense hours are rows of the aggregated frame itself, so there is one exchange and no join.
     """
-    dense = stays.select(
-        "stay_id", F.explode(F.sequence(F.lit(0), F.lit(window_hours - 1))).cast("double").alias("hours")
-    ).withColumns({"variable": F.lit(None).cast("string"), "value": F.lit(None).cast("double")})
+    dense = stays.select("stay_id", F.explode(F.sequence(F.lit(0), F.lit(window_hours - 1))).alias("hour")).select(
+        "stay_id", F.col("hour").cast("double").alias("hours"),
+        F.lit(None).cast("string").alias("variable"), F.lit(None).cast("double").alias("value"),
+    )
     known = stays.select("stay_id").distinct()
     inside = events.where((F.col("hours") >= 0) & (F.col("hours") < window_hours)).join(known, "stay_id", "left_semi")
 
@@ -187,21 +188,24 @@ def missing_fraction(matrix: DataFrame) -> DataFrame:
 
 
 # --- preprocessing -----------------------------------------------------------------
-def fit_preprocessor(rows: DataFrame, column: str) -> DataFrame:
-    """Per feature of an array column: (pos, median, mean, sd), fitted on the given rows only.
+def fit_preprocessor(rows: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Per feature of an array column: (keys, pos, median, mean, sd), fitted on the given rows only.
+
+    With `keys` every group of rows gets its own statistics in the same pass.
 
     Median of the finite values (0 if none), then mean and population SD after filling; an SD of
     1e-12 or less becomes 1.  Features are rows here, so the work spreads over feature x value.
     """
-    long = rows.select(F.posexplode(column).alias("pos", "value"))
+    cell = [*keys, "pos"]
+    long = rows.select(*keys, F.posexplode(column).alias("pos", "value"))
     usable = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
-    long = long.select("pos", usable.alias("value"))
-    middle = medians(long, ["pos"], "value")
-    filled = long.join(middle, "pos", "left").select(
-        "pos", F.coalesce("median", F.lit(0.0)).alias("median"), F.coalesce("value", "median", F.lit(0.0)).alias("x")
+    long = long.select(*cell, usable.alias("value"))
+    middle = medians(long, cell, "value")
+    filled = long.join(middle, cell, "left").select(
+        *cell, F.coalesce("median", F.lit(0.0)).alias("median"), F.coalesce("value", "median", F.lit(0.0)).alias("x")
     )
     sd = F.stddev_pop("x")
-    return filled.groupBy("pos").agg(
+    return filled.groupBy(*cell).agg(
         F.max("median").alias("median"), F.avg("x").alias("mean"), F.when(sd > 1e-12, sd).otherwise(1.0).alias("sd")
     )
 
@@ -229,6 +233,18 @@ def apply_preprocessor(rows: DataFrame, stats: DataFrame, column: str) -> DataFr
     return rows.withColumn("_stats", _scaler(stats)).withColumn(column, _scale(F.col(column), F.col("_stats"))).drop("_stats")
 
 
+def fixed_scaler(table: Sequence[tuple[float, float, float]]) -> Column:
+    """Statistics that are already known, (median, mean, sd) per feature, as a constant."""
+    return F.array(*[
+        F.struct(F.lit(float(m)).alias("median"), F.lit(float(a)).alias("mean"), F.lit(float(s)).alias("sd"))
+        for m, a, s in table
+    ])
+
+
+def scale_with(x: str | Column, table: Sequence[tuple[float, float, float]]) -> Column:
+    return _scale(F.col(x) if isinstance(x, str) else x, fixed_scaler(table))
+
+
 def apply_sequence_preprocessor(rows: DataFrame, stats: DataFrame, column: str = "sequence") -> DataFrame:
     steps = F.transform(F.col(column), lambda step: _scale(step, F.col("_stats")))
     return rows.withColumn("_stats", _scaler(stats)).withColumn(column, steps).drop("_stats")

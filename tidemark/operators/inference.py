@@ -190,9 +190,13 @@ def require_usable(summary: DataFrame) -> None:
 def two_level_bootstrap(
     pred: DataFrame, label_a: str, label_b: str, n_boot: int = config.N_BOOT, seed: int = 0, method: str = "poisson",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(draws, point, replicate gaps) of gap(a) - gap(b), resampling units or clusters and seeds."""
+    """(draws, point, replicate gaps) of gap(a) - gap(b), resampling units or clusters and seeds.
+
+    The gaps are one row per replicate and cell, whatever the size of the data, and everything after
+    them reads them several times: they are persisted, for the caller to release.
+    """
     wanted = pred.where(F.col("label").isin(label_a, label_b))
-    gaps = replicate_gaps(replicate_auroc(wanted, n_boot, seed, method))
+    gaps = replicate_gaps(replicate_auroc(wanted, n_boot, seed, method)).persist()
     return bootstrap_draws(gaps, label_a, label_b, n_boot, seed), point_estimate(gaps, label_a, label_b), gaps
 
 

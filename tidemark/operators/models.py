@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.functions.columns import hash_fold, require_option
 from tidemark.functions.ranked import auroc, sample_n
-from tidemark.operators.features import apply_preprocessor, fit_preprocessor
+from tidemark.operators.features import fit_preprocessor, scale_with
 from tidemark.operators.metrics import gap_scales
 from tidemark.operators.splits import match_training, oracle_sizes
 from tidemark.session import cut_lineage
@@ -60,23 +60,35 @@ def _estimator(spec: Spec, n_rows: int, seed: int):
     )
 
 
+Scaling = list[tuple[float, float, float]]
+
+
 @dataclass(frozen=True)
 class Fitted:
-    """A model with the preprocessing of its own training rows."""
+    """A model with the preprocessing of its own training rows, (median, mean, sd) per feature."""
 
     model: Model
-    stats: DataFrame
+    scaling: Scaling
     features: str
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Rows with a `score` column, the probability of the positive class."""
-        ready = apply_preprocessor(rows, self.stats, self.features).withColumn("_vector", array_to_vector(self.features))
         keep = [c for c in rows.columns if c != self.features]
+        ready = rows.select(*keep, array_to_vector(scale_with(self.features, self.scaling)).alias("_vector"))
         scored = self.model.transform(ready)
         return scored.select(*keep, vector_to_array("probability")[1].alias("score"))
 
 
-def fit(train: DataFrame, spec: Spec, seed: int = 0, features: str = "features", y: str = "y") -> Fitted | None:
+def scalings(rows: DataFrame, features: str, key: str) -> dict[int, Scaling]:
+    """Statistics of each group of rows: one number triple per group and feature comes to the driver."""
+    out: dict[int, Scaling] = {}
+    for r in fit_preprocessor(rows, features, [key]).orderBy(key, "pos").collect():
+        out.setdefault(r[key], []).append((r["median"], r["mean"], r["sd"]))
+    return out
+
+
+def fit(train: DataFrame, spec: Spec, seed: int = 0, features: str = "features", y: str = "y",
+        scaling: Scaling | None = None) -> Fitted | None:
     """Fit on preprocessed rows; None if the rows hold one class only."""
     train = train.select(F.col(y).cast("double").alias("_y"), features)
     counts = {r["_y"]: r["count"] for r in train.groupBy("_y").count().collect()}  # one row per class
@@ -86,16 +98,13 @@ def fit(train: DataFrame, spec: Spec, seed: int = 0, features: str = "features",
     weight = F.lit(1.0)
     if spec.params.get("class_weight") == "balanced":
         weight = F.when(F.col("_y") == 1, n / (2.0 * counts[1.0])).otherwise(n / (2.0 * counts[0.0]))
-    # The statistics are used by every pass of the fit and by every scoring: one row per feature.
-    stats = fit_preprocessor(train, features).persist()
-    ready = (
-        apply_preprocessor(train, stats, features)
-        .select("_y", weight.alias("_weight"), array_to_vector(features).alias("_vector"))
-        .persist()
-    )
+    if scaling is None:
+        scaling = scalings(train.withColumn("_all", F.lit(0)), features, "_all")[0]
+    # Every iteration of the fit reads these rows.
+    ready = train.select("_y", weight.alias("_weight"), array_to_vector(scale_with(features, scaling)).alias("_vector")).persist()
     model = _estimator(spec, n, seed).fit(ready)
     ready.unpersist()
-    return Fitted(model, stats, features)
+    return Fitted(model, scaling, features)
 
 
 def out_of_fold(
@@ -104,13 +113,23 @@ def out_of_fold(
 ) -> DataFrame | None:
     """Out-of-fold scores: each fold is scored by a model fitted on the others.
 
-    A fold whose training rows hold one class is left out.  `train_filter(frame, fold)` may thin the
-    training rows.
+    The statistics of all training sets come from one pass.  A fold whose training rows hold one
+    class is left out.  `train_filter(frame, fold)` may thin the training rows.
     """
+    inside = {k: rows.where(F.col(fold) != k) for k in range(n_folds)}
+    if train_filter:
+        inside = {k: train_filter(df, k) for k, df in inside.items()}
+        tagged = None
+        for k, df in inside.items():
+            part = df.select(F.lit(k).alias("_out"), features)
+            tagged = part if tagged is None else tagged.unionByName(part)
+    else:
+        others = F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda k: k != F.col(fold))
+        tagged = rows.select(F.explode(others).alias("_out"), features)
+    known = scalings(tagged, features, "_out")
     out = None
-    for k in range(n_folds):
-        inside = rows.where(F.col(fold) != k)
-        fitted = fit(train_filter(inside, k) if train_filter else inside, spec, seed, features)
+    for k, df in inside.items():
+        fitted = fit(df, spec, seed, features, scaling=known[k]) if k in known else None
         if fitted is None:
             continue
         scored = fitted.score(rows.where(F.col(fold) == k))

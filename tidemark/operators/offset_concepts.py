@@ -33,20 +33,36 @@ def lab(
 ) -> DataFrame:
     """Laboratory values whose name starts with a concept name; all concepts in one scan."""
     concepts = {n: config.OFFSET_LABS[n] for n in (names or config.OFFSET_LABS)}
-    tests = []
+    _check_prefixes(concepts)
+    concept = None
     for name, spec in concepts.items():
-        lo, hi = spec["valid"]
-        hit = starts_with_any("labname", spec["names"]) & F.col("labresult").between(float(lo), float(hi))
-        tests.append(F.when(hit, F.lit(name)))
+        hit = starts_with_any("_name", spec["names"])
+        concept = F.when(hit, F.lit(name)) if concept is None else concept.when(hit, F.lit(name))
+
+    def limit(i: int) -> Column:
+        return F.create_map(*[x for n, s in concepts.items() for x in (F.lit(n), F.lit(float(s["valid"][i])))])[F.col("concept")]
+
     rows = (
-        labs.where(F.col("labresultoffset").between(-_minutes(lookback_hours), _minutes(max_hours)))
-        .withColumn("concept", F.explode(F.array_compact(F.array(*tests))))
-        .select(F.col("patientunitstayid").alias("stay_id"), "concept",
+        labs.where(F.col("labresultoffset").between(-_minutes(lookback_hours), _minutes(max_hours))
+                   & F.col("labresult").isNotNull())
+        .select(F.col("patientunitstayid").alias("stay_id"), F.lower("labname").alias("_name"),
                 hours_from_minutes("labresultoffset").alias("hours"), F.col("labresult").alias("value"))
+        .withColumn("concept", concept)
+        .where(F.col("concept").isNotNull() & (F.col("value") >= limit(0)) & (F.col("value") <= limit(1)))
+        .select("stay_id", "concept", "hours", "value")
     )
     return _in_cohort(rows, cohort)
 
 
+def _check_prefixes(concepts: dict) -> None:
+    """No name may start two concepts: then the first match is the only one."""
+    owners = [(p, n) for n, spec in concepts.items() for p in spec["names"]]
+    for p, n in owners:
+        for q, m in owners:
+            if n != m and q.startswith(p):
+                raise ValueError(f"lab names {p!r} ({n}) and {q!r} ({m}) overlap")
+
+
 def vital(
     periodic: DataFrame,
     aperiodic: DataFrame,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -64,9 +65,8 @@ def find_csv(spark: SparkSession, root: str, name: str) -> str | None:
 
 def header_columns(spark: SparkSession, path: str) -> list[str]:
     """Column names from the first line only; no data is sampled."""
-    line = spark.read.text(path).limit(1)
-    frame = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(line.rdd.map(lambda r: r[0]))
-    return frame.columns
+    first = spark.read.text(path).head()
+    return next(csv.reader([first[0].rstrip("\r")])) if first else []
 
 
 def schema_for(columns: Sequence[str], spec: TableSpec) -> tuple[T.StructType, list[str]]:
