@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.functions.columns import hash_int, hash_uniform, join_groups, require_option
 from tidemark.functions.ranked import auroc
+from tidemark.session import cut_lineage
 
 MAX_CLUSTERS = 20_000
 
@@ -193,10 +194,10 @@ def two_level_bootstrap(
     """(draws, point, replicate gaps) of gap(a) - gap(b), resampling units or clusters and seeds.
 
     The gaps are one row per replicate and cell, whatever the size of the data, and everything after
-    them reads them several times: they are persisted, for the caller to release.
+    them reads them several times, so they are written once.
     """
     wanted = pred.where(F.col("label").isin(label_a, label_b))
-    gaps = replicate_gaps(replicate_auroc(wanted, n_boot, seed, method)).persist()
+    gaps = cut_lineage(replicate_gaps(replicate_auroc(wanted, n_boot, seed, method)))
     return bootstrap_draws(gaps, label_a, label_b, n_boot, seed), point_estimate(gaps, label_a, label_b), gaps
 
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import config
 from tidemark.functions.columns import join_groups, require_columns, require_option
@@ -171,6 +172,11 @@ def sepsis3_onset(
 
 
 # --- prevalent cases --------------------------------------------------------------
+def no_stays(like: DataFrame) -> DataFrame:
+    """Empty (stay_id) frame."""
+    return like.sparkSession.createDataFrame([], T.StructType([like.schema["stay_id"]]))
+
+
 def prevalent_from_onsets(onsets: DataFrame, prediction_hour: float = config.PREDICTION_HOUR) -> DataFrame:
     return onsets.where(F.col("onset_hours") <= prediction_hour).select("stay_id")
 
@@ -180,7 +186,7 @@ def prevalent_dysfunction(
 ) -> DataFrame:
     require_option(rule, PREVALENCE_RULES, "prevalence rule")
     if rule == "none":
-        return sofa.select("stay_id").limit(0)
+        return no_stays(sofa)
     both = sofa.groupBy("stay_id").agg(
         _baseline(prediction_hour, "at_prediction").alias("_at"),
         _baseline(prediction_hour, "min_before").alias("_low"),
@@ -200,7 +206,7 @@ def prevalent_sepsis3(
 ) -> DataFrame:
     require_option(rule, PREVALENCE_RULES, "prevalence rule")
     if rule == "none":
-        return sofa.select("stay_id").limit(0)
+        return no_stays(sofa)
     baseline = "zero" if rule == "sofa_at_threshold" else "min_before"
     dys = dysfunction_hours(sofa, prediction_hour, increase, baseline, after_prediction_only=False).where(
         F.col("dysfunction_hours") <= prediction_hour

@@ -48,31 +48,21 @@ ROLES: dict[str, str] = {
                  ELSE CASE k % 3 WHEN 0 THEN value / 4e0 WHEN 1 THEN 100e0 + value / 2e0 ELSE value END END AS valuenum
         FROM ev WHERE event_type IN ('view', 'click', 'signup')""",
     "chartevents": """
-        SELECT user_id AS stay_id, ts AS charttime, 220052 AS itemid, CAST(NULL AS VARCHAR(20)) AS value, 50e0 + value AS valuenum
-        FROM ev WHERE event_type IN ('view', 'purchase')
-        UNION ALL
-        SELECT user_id, ts, 223835, CAST(NULL AS VARCHAR(20)), CASE WHEN k % 4 = 0 THEN k / 100e0 ELSE 15e0 + k END
-        FROM ev WHERE event_type = 'click'
-        UNION ALL
-        SELECT user_id, ts, 220739, CAST(NULL AS VARCHAR(20)), 1e0 + k % 4 FROM ev WHERE event_type = 'signup'
-        UNION ALL
-        SELECT user_id, ts, 223900, CAST(NULL AS VARCHAR(20)), 1e0 + k % 5 FROM ev WHERE event_type = 'signup' AND k % 7 <> 0
-        UNION ALL
-        SELECT user_id, ts, 223901, CAST(NULL AS VARCHAR(20)), 1e0 + k % 6 FROM ev WHERE event_type = 'signup'
-        UNION ALL
-        SELECT user_id, ts, 220339, CAST(NULL AS VARCHAR(20)), value FROM ev WHERE event_type = 'error' AND k < 20
-        UNION ALL
-        SELECT user_id, ts, 223849, 'SIMV', CAST(NULL AS DOUBLE) FROM ev WHERE event_type = 'error' AND k BETWEEN 20 AND 39
-        UNION ALL
-        SELECT user_id, ts, 226512, CAST(NULL AS VARCHAR(20)), 15e0 + value FROM ev WHERE event_type = 'purchase' AND k < 30
-        UNION ALL
-        SELECT user_id, ts, 226531, CAST(NULL AS VARCHAR(20)), 90e0 + value FROM ev WHERE event_type = 'purchase' AND k BETWEEN 30 AND 59
-        UNION ALL
-        SELECT user_id, ts, 220045, CAST(NULL AS VARCHAR(20)), 50e0 + value FROM ev WHERE event_type IN ('error', 'signup')
-        UNION ALL
-        SELECT user_id, ts, CASE WHEN k % 2 = 0 THEN 223761 ELSE 223762 END, CAST(NULL AS VARCHAR(20)),
-               CASE WHEN k % 2 = 0 THEN 90e0 + k / 5e0 ELSE 30e0 + k / 6e0 END
-        FROM ev WHERE event_type = 'view'""",
+        SELECT e.user_id AS stay_id, e.ts AS charttime,
+               CASE m.item WHEN 'map' THEN 220052 WHEN 'fio2' THEN 223835 WHEN 'eye' THEN 220739 WHEN 'verbal' THEN 223900 WHEN 'motor' THEN 223901
+                    WHEN 'vent' THEN CASE WHEN e.k < 20 THEN 220339 ELSE 223849 END
+                    WHEN 'weight' THEN CASE WHEN e.k < 30 THEN 226512 ELSE 226531 END
+                    WHEN 'pulse' THEN 220045 ELSE CASE WHEN e.k % 2 = 0 THEN 223761 ELSE 223762 END END AS itemid,
+               CASE WHEN m.item = 'vent' AND e.k >= 20 THEN 'SIMV' END AS value,
+               CASE m.item WHEN 'map' THEN 50e0 + e.value WHEN 'fio2' THEN CASE WHEN e.k % 4 = 0 THEN e.k / 100e0 ELSE 15e0 + e.k END
+                    WHEN 'eye' THEN 1e0 + e.k % 4 WHEN 'verbal' THEN 1e0 + e.k % 5 WHEN 'motor' THEN 1e0 + e.k % 6
+                    WHEN 'vent' THEN CASE WHEN e.k < 20 THEN e.value END
+                    WHEN 'weight' THEN CASE WHEN e.k < 30 THEN 15e0 + e.value ELSE 90e0 + e.value END
+                    WHEN 'pulse' THEN 50e0 + e.value ELSE CASE WHEN e.k % 2 = 0 THEN 90e0 + e.k / 5e0 ELSE 30e0 + e.k / 6e0 END END AS valuenum
+        FROM ev e JOIN (VALUES ('view', 'map'), ('purchase', 'map'), ('click', 'fio2'), ('signup', 'eye'), ('signup', 'verbal'), ('signup', 'motor'),
+                               ('error', 'vent'), ('purchase', 'weight'), ('error', 'pulse'), ('signup', 'pulse'), ('view', 'temperature')) AS m(kind, item)
+             ON m.kind = e.event_type
+        WHERE NOT (m.item = 'verbal' AND e.k % 7 = 0) AND NOT (m.item = 'vent' AND e.k >= 40) AND NOT (m.item = 'weight' AND e.k >= 60)""",
     "outputevents": """
         SELECT user_id AS stay_id, ts AS charttime, CASE WHEN k % 10 = 0 THEN 227488 ELSE 226559 END AS itemid,
                CAST(floor(value * 6e0) AS DOUBLE) AS value
@@ -165,15 +155,13 @@ ROLES: dict[str, str] = {
                30e0 + l_quantity * 2e0 AS noninvasivemean
         FROM o_line WHERE l_returnflag = 'R'""",
     "o_nurse": """
-        SELECT patientunitstayid, off AS nursingchartoffset, 'GCS Total' AS nursingchartcelltypevalname,
-               CASE WHEN l_partkey % 6 = 0 THEN 'unable' ELSE CAST(CAST(floor(1 + l_quantity / 3e0) AS INTEGER) AS VARCHAR(5)) END AS nursingchartvalue
-        FROM o_line WHERE l_returnflag = 'N' AND l_partkey % 2 = 0
-        UNION ALL
-        SELECT patientunitstayid, off, 'Eyes', CAST(1 + l_partkey % 4 AS VARCHAR(5)) FROM o_line WHERE l_linestatus = 'O'
-        UNION ALL
-        SELECT patientunitstayid, off, 'Verbal', CAST(1 + l_partkey % 5 AS VARCHAR(5)) FROM o_line WHERE l_linestatus = 'O' AND l_partkey % 7 <> 0
-        UNION ALL
-        SELECT patientunitstayid, off, 'Motor', CAST(1 + l_partkey % 6 AS VARCHAR(5)) FROM o_line WHERE l_linestatus = 'O'""",
+        SELECT o.patientunitstayid, o.off AS nursingchartoffset, m.name AS nursingchartcelltypevalname,
+               CASE m.name WHEN 'GCS Total' THEN CASE WHEN o.l_partkey % 6 = 0 THEN 'unable' ELSE CAST(CAST(floor(1 + o.l_quantity / 3e0) AS INTEGER) AS VARCHAR(5)) END
+                    WHEN 'Eyes' THEN CAST(1 + o.l_partkey % 4 AS VARCHAR(5)) WHEN 'Verbal' THEN CAST(1 + o.l_partkey % 5 AS VARCHAR(5))
+                    ELSE CAST(1 + o.l_partkey % 6 AS VARCHAR(5)) END AS nursingchartvalue
+        FROM o_line o JOIN (VALUES ('GCS Total', 1), ('Eyes', 2), ('Verbal', 2), ('Motor', 2)) AS m(name, part)
+             ON (m.part = 1 AND o.l_returnflag = 'N' AND o.l_partkey % 2 = 0) OR (m.part = 2 AND o.l_linestatus = 'O')
+        WHERE NOT (m.name = 'Verbal' AND o.l_partkey % 7 = 0)""",
     "o_intake": """
         SELECT patientunitstayid, off AS intakeoutputoffset, l_quantity * 10e0 AS cellvaluenumeric,
                CASE l_partkey % 6 WHEN 0 THEN 'Urine' WHEN 1 THEN 'Foley cath' WHEN 2 THEN 'Oral' WHEN 3 THEN 'Urine irrigant' WHEN 4 THEN 'VOID' ELSE NULL END AS celllabel

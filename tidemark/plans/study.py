@@ -1,7 +1,8 @@
 """The studies end to end: label study on the timestamp clock, site study on the offset clock,
 and the transfer comparison on a labelled matrix.
 
-Every step is a lazy frame; nothing runs before a result is read or written.
+Steps are lazy frames, but for the few shared ones that are written to the shared folder when
+first used.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from tidemark.operators import labels as L
 from tidemark.operators import metrics as M
 from tidemark.operators import offset_concepts as O
 from tidemark.operators import scores as S
+from tidemark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,7 @@ class _Study:
     # Subclasses provide: cohort, stays, weight, creatinine, urine, score_inputs, antibiotics,
     # cultures, feature_events, static, and the grouping column of the common cohort.
 
-    # Frames that several steps read are persisted (memory, then disk); all of them are one row per
+    # Frames that several steps read are written to the shared folder once.  All of them are one row per
     # stay, per stay and hour, or per stay and action, far smaller than the tables they come from.
 
     @cached_property
@@ -64,30 +66,20 @@ class _Study:
     @cached_property
     def totals(self) -> DataFrame:
         """What onsets and prevalent cases need of the score."""
-        return self._kept(self.sofa.select("stay_id", "hour", "sofa_total"))
+        return cut_lineage(self.sofa.select("stay_id", "hour", "sofa_total"))
 
     @cached_property
     def suspicion(self) -> DataFrame:
-        return self._kept(L.suspicion_times(self.antibiotics, self.cultures))
-
-    def _kept(self, df: DataFrame) -> DataFrame:
-        self._persisted.append(df.persist())
-        return df
-
-    def release(self) -> None:
-        """Drop the persisted frames."""
-        for df in self._persisted:
-            df.unpersist()
-        self._persisted.clear()
+        return cut_lineage(L.suspicion_times(self.antibiotics, self.cultures))
 
     @cached_property
     def creatinine_onset(self) -> DataFrame:
         staged = S.creatinine_stage(self.creatinine, self.rules.creatinine_baseline, per_tick=True)
-        return self._kept(L.first_onset(staged, self.rules.min_stage))
+        return cut_lineage(L.first_onset(staged, self.rules.min_stage))
 
     @cached_property
     def urine_onset(self) -> DataFrame:
-        return self._kept(L.first_onset(S.urine_output_stage(self.urine, self.weight), self.rules.min_stage))
+        return cut_lineage(L.first_onset(S.urine_output_stage(self.urine, self.weight), self.rules.min_stage))
 
     def onsets(self, baseline_rule: str | None = None) -> dict[str, DataFrame]:
         r, rule = self.rules, baseline_rule or self.rules.baseline_rule
@@ -103,10 +95,15 @@ class _Study:
         """Prevalent cases at the prediction hour: early onsets for the kidney labels, the chosen
         rule for the two rise-based ones."""
         r, rule = self.rules, rule or self.rules.prevalence_rule
-        onsets = self.onsets()
+        kidney = {
+            "aki_creatinine": L.prevalent_from_onsets(self.creatinine_onset, r.prediction_hour),
+            "aki_urine": L.prevalent_from_onsets(self.urine_onset, r.prediction_hour),
+        }
+        if rule == "none":  # no rise-based prevalent case, so the score is not needed
+            nobody = L.no_stays(self.cohort)
+            return {**kidney, "sofa_dysfunction": nobody, "sepsis3": nobody}
         return {
-            "aki_creatinine": L.prevalent_from_onsets(onsets["aki_creatinine"], r.prediction_hour),
-            "aki_urine": L.prevalent_from_onsets(onsets["aki_urine"], r.prediction_hour),
+            **kidney,
             "sofa_dysfunction": L.prevalent_dysfunction(self.totals, r.prediction_hour, r.increase, rule),
             "sepsis3": L.prevalent_sepsis3(self.totals, self.suspicion, r.prediction_hour, r.increase, rule=rule),
         }
@@ -159,11 +156,11 @@ class LabelStudy(_Study):
     group = "epoch"
 
     def __init__(self, tables, rules: Rules = Rules()):
-        self.t, self.rules, self._persisted = tables, rules, []
+        self.t, self.rules = tables, rules
 
     @cached_property
     def cohort(self) -> DataFrame:
-        return self._kept(K.build_cohort(self.t.icustays, self.t.patients, self.t.admissions))
+        return cut_lineage(K.build_cohort(self.t.icustays, self.t.patients, self.t.admissions))
 
     @cached_property
     def stays(self) -> DataFrame:
@@ -171,7 +168,7 @@ class LabelStudy(_Study):
 
     @cached_property
     def weight(self) -> DataFrame:
-        return self._kept(C.weights(self.t.chartevents, self.cohort))
+        return cut_lineage(C.weights(self.t.chartevents, self.cohort))
 
     @cached_property
     def labs(self) -> DataFrame:
@@ -233,7 +230,7 @@ class SiteStudy(_Study):
 
     def __init__(self, tables, rules: Rules = Rules(), min_stays: int = config.MIN_STAYS_PER_SITE,
                  min_creatinine: float = config.MIN_CREATININE_COVERAGE, min_culture: float = config.MIN_CULTURE_RATE):
-        self.t, self.rules, self._persisted = tables, rules, []
+        self.t, self.rules = tables, rules
         self.limits = (min_stays, min_creatinine, min_culture)
 
     @cached_property
@@ -246,7 +243,7 @@ class SiteStudy(_Study):
 
     @cached_property
     def cohort(self) -> DataFrame:
-        return self._kept(K.keep_included(self.everyone, self.sites))
+        return cut_lineage(K.keep_included(self.everyone, self.sites))
 
     @cached_property
     def stays(self) -> DataFrame:
@@ -255,7 +252,7 @@ class SiteStudy(_Study):
 
     @cached_property
     def weight(self) -> DataFrame:
-        return self._kept(O.weights(self.cohort))
+        return cut_lineage(O.weights(self.cohort))
 
     @cached_property
     def creatinine(self) -> DataFrame:
@@ -320,7 +317,7 @@ def estimate_contrasts(
     """One row per contrast: point, intervals, p, Holm, variance parts, sign agreement, verdict."""
     wanted = sorted({x for _, a, b in contrasts for x in (a, b)})
     # One row per replicate and cell, read by every contrast.
-    gaps = I.replicate_gaps(I.replicate_auroc(pred.where(F.col("label").isin(wanted)), n_boot, seed, method)).persist()
+    gaps = cut_lineage(I.replicate_gaps(I.replicate_auroc(pred.where(F.col("label").isin(wanted)), n_boot, seed, method)))
     cells = M.gap_scales(_cell_aurocs(pred.where(F.col("label").isin(wanted))))
     one = F.lit(1)
     out = None
