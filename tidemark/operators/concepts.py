@@ -23,13 +23,10 @@ from tidemark.functions.columns import (
 from tidemark.functions.ranked import medians
 
 
-def _concept_case(concepts: Mapping[str, Mapping], item: str, value: str) -> Column:
-    out = None
-    for name, spec in concepts.items():
-        lo, hi = spec["valid"]
-        hit = F.col(item).isin(spec["itemids"]) & F.col(value).between(float(lo), float(hi))
-        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
-    return out
+def by_item(concepts: Mapping[str, Mapping], entry) -> Column:
+    """Constant lookup from the item id to entry(concept name, its settings)."""
+    pairs = [x for name, spec in concepts.items() for i in spec["itemids"] for x in (F.lit(i), F.lit(entry(name, spec)))]
+    return F.create_map(*pairs)[F.col("itemid").cast("int")]
 
 
 def extract(
@@ -42,13 +39,17 @@ def extract(
     time: str = "charttime",
     value: str = "valuenum",
 ) -> DataFrame:
-    """Valid values of all concepts in [admission - before, admission + after], one scan."""
+    """Valid values of all concepts in [admission - before, admission + after], one scan.
+
+    An item belongs to one concept.
+    """
     ids = [i for spec in concepts.values() for i in spec["itemids"]]
+    low, high = by_item(concepts, lambda _, s: float(s["valid"][0])), by_item(concepts, lambda _, s: float(s["valid"][1]))
     tagged = (
         events.where(F.col("itemid").isin(ids) & F.col(value).isNotNull())
+        .where((F.col(value) >= low) & (F.col(value) <= high))
         .select(key, F.col(time).alias("_t"), F.col(value).cast("double").alias("value"),
-                _concept_case(concepts, "itemid", value).alias("concept"))
-        .where(F.col("concept").isNotNull())
+                by_item(concepts, lambda name, _: name).alias("concept"))
     )
     return (
         tagged.join(cohort.select(*{key, "stay_id"}, "intime"), key)

@@ -87,7 +87,8 @@ def hourly_panel(
 ) -> DataFrame:
     """Dense (stay_id, hour) with one column per variable: hourly mean, or sum for `summed`.
 
-    The dense hours are rows of the aggregated frame itself, so there is one exchange and no join.
+    The dense hours are rows of the aggregated frame itself, so no join is needed; values are reduced
+    per (stay, hour, variable) before they are turned into columns.
     """
     dense = stays.select("stay_id", F.explode(F.sequence(F.lit(0), F.lit(window_hours - 1))).alias("hour")).select(
         "stay_id", F.col("hour").cast("double").alias("hours"),
@@ -95,33 +96,44 @@ def hourly_panel(
     )
     known = stays.select("stay_id").distinct()
     inside = events.where((F.col("hours") >= 0) & (F.col("hours") < window_hours)).join(known, "stay_id", "left_semi")
-
-    def bin_value(v: str) -> Column:
-        cell = F.when(F.col("variable") == v, F.col("value"))
-        return (F.sum(cell) if v in summed else F.avg(cell)).alias(v)
-
+    how = F.when(F.col("variable").isin(list(summed)), F.sum("value")).otherwise(F.avg("value"))
     return (
         inside.select("stay_id", "hours", "variable", "value").unionByName(dense)
-        .groupBy("stay_id", F.floor("hours").cast("int").alias("hour"))
-        .agg(*[bin_value(v) for v in variables])
+        .groupBy("stay_id", F.floor("hours").cast("int").alias("hour"), "variable").agg(how.alias("_v"))
+        .groupBy("stay_id", "hour").pivot("variable", list(variables)).agg(F.first("_v"))
     )
 
 
-def tabular_columns(variables: Sequence[str], aggregations: Sequence[str]) -> list[tuple[str, Column]]:
-    """Named aggregates over the hourly bins of a stay (not raw rows, not filled values)."""
+def _statistics(panel: DataFrame, variables: Sequence[str], aggregations: Sequence[str]) -> DataFrame:
+    """(stay_id, _stats): one struct of aggregates per variable, in the order of `variables`.
+
+    Aggregates run over the hourly bins of a stay (not raw rows, not filled values), with the variables as
+    rows: a few aggregates over many groups rather than one aggregate per variable and statistic.
+    """
+    known = F.when(F.col("_v").isNotNull(), F.col("hour"))
+    every = {
+        "min": F.min("_v"), "max": F.max("_v"), "mean": F.avg("_v"),
+        "first": F.min_by("_v", known), "last": F.max_by("_v", known),
+    }
+    position = F.array_position(F.array(*[F.lit(v) for v in variables]), F.col("_variable"))
+    return (
+        panel.unpivot(["stay_id", "hour"], list(variables), "_variable", "_v")
+        .groupBy("stay_id", "_variable").agg(*[every[a].alias(a) for a in aggregations])
+        .groupBy("stay_id")
+        .agg(F.sort_array(F.collect_list(F.struct(position.alias("_i"), *aggregations))).alias("_stats"))
+    )
 
-    def expression(v: str, how: str) -> Column:
-        known = F.when(F.col(v).isNotNull(), F.col("hour"))
-        return {
-            "min": lambda: F.min(v), "max": lambda: F.max(v), "mean": lambda: F.avg(v),
-            "first": lambda: F.min_by(v, known), "last": lambda: F.max_by(v, known),
-        }[how]()
 
-    return [(f"{v}__{a}", expression(v, a)) for v in variables for a in aggregations]
+def tabular_names(variables: Sequence[str], aggregations: Sequence[str]) -> list[str]:
+    return [f"{v}__{a}" for v in variables for a in aggregations]
 
 
 def tabular_view(panel: DataFrame, variables: Sequence[str], aggregations: Sequence[str] = tuple(config.AGGREGATIONS)) -> DataFrame:
-    return panel.groupBy("stay_id").agg(*[c.alias(n) for n, c in tabular_columns(variables, aggregations)])
+    """One column variable__aggregation each."""
+    stats = _statistics(panel, variables, aggregations)
+    return stats.select("stay_id", *[
+        F.col("_stats")[i][a].alias(f"{v}__{a}") for i, v in enumerate(variables) for a in aggregations
+    ])
 
 
 def sequence_view(panel: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -164,8 +176,9 @@ def build_matrix(
         dummies |= one_hot(static, c, (category_levels or {}).get(c) or levels(static, c))
     static_names = [*numeric, *dummies]
     static_array = F.array(*[F.col(c).cast("double") for c in numeric], *dummies.values())
-    table = tabular_columns(variables, aggregations)
-    wide = panel.groupBy("stay_id").agg(F.array(*[c.cast("double") for _, c in table]).alias("_tab"))
+    wide = _statistics(panel, variables, aggregations).select(
+        "stay_id", F.flatten(F.transform("_stats", lambda s: F.array(*[s[a] for a in aggregations]))).alias("_tab")
+    )
     known = static.select("stay_id", static_array.alias("static"))
     none = F.array_repeat(F.lit(None).cast("double"), len(static_names))
     matrix = (
@@ -173,7 +186,7 @@ def build_matrix(
         .withColumn("static", F.coalesce("static", none))
         .select("stay_id", F.concat("_tab", "static").alias("tabular"), "sequence", "static")
     )
-    return matrix, MatrixNames([n for n, _ in table] + static_names, list(variables), static_names)
+    return matrix, MatrixNames(tabular_names(variables, aggregations) + static_names, list(variables), static_names)
 
 
 def missing_fraction(matrix: DataFrame) -> DataFrame:
@@ -233,16 +246,13 @@ def apply_preprocessor(rows: DataFrame, stats: DataFrame, column: str) -> DataFr
     return rows.withColumn("_stats", _scaler(stats)).withColumn(column, _scale(F.col(column), F.col("_stats"))).drop("_stats")
 
 
-def fixed_scaler(table: Sequence[tuple[float, float, float]]) -> Column:
-    """Statistics that are already known, (median, mean, sd) per feature, as a constant."""
-    return F.array(*[
-        F.struct(F.lit(float(m)).alias("median"), F.lit(float(a)).alias("mean"), F.lit(float(s)).alias("sd"))
-        for m, a, s in table
-    ])
-
-
-def scale_with(x: str | Column, table: Sequence[tuple[float, float, float]]) -> Column:
-    return _scale(F.col(x) if isinstance(x, str) else x, fixed_scaler(table))
+def scale_with(x: str, table: Sequence[tuple[float, float, float]]) -> Column:
+    """Array column `x` scaled with statistics that are already known, (median, mean, sd) per feature."""
+    median, mean, sd = (", ".join(f"{float(row[i])!r}D" for row in table) for i in range(3))
+    return F.expr(
+        f"transform({x}, (v, i) -> (coalesce(if(isnan(v) or abs(v) = double('infinity'), null, v), array({median})[i])"
+        f" - array({mean})[i]) / array({sd})[i])"
+    )
 
 
 def apply_sequence_preprocessor(rows: DataFrame, stats: DataFrame, column: str = "sequence") -> DataFrame:

@@ -87,19 +87,28 @@ def scalings(rows: DataFrame, features: str, key: str) -> dict[int, Scaling]:
     return out
 
 
+def class_counts(rows: DataFrame, key: str, y: str = "y") -> dict[int, dict[int, int]]:
+    """Rows per class of each group: two numbers per group come to the driver."""
+    out: dict[int, dict[int, int]] = {}
+    for r in rows.groupBy(key, F.col(y).cast("int").alias("_y")).agg(F.count(F.lit(1)).alias("_n")).collect():
+        out.setdefault(r[key], {})[r["_y"]] = r["_n"]
+    return out
+
+
 def fit(train: DataFrame, spec: Spec, seed: int = 0, features: str = "features", y: str = "y",
-        scaling: Scaling | None = None) -> Fitted | None:
+        scaling: Scaling | None = None, counts: dict[int, int] | None = None) -> Fitted | None:
     """Fit on preprocessed rows; None if the rows hold one class only."""
     train = train.select(F.col(y).cast("double").alias("_y"), features)
-    counts = {r["_y"]: r["count"] for r in train.groupBy("_y").count().collect()}  # one row per class
+    if counts is None or scaling is None:
+        whole = train.withColumn("_all", F.lit(0))
+        counts = counts or class_counts(whole, "_all", "_y").get(0, {})
+        scaling = scaling or scalings(whole, features, "_all").get(0)
     if len(counts) < 2:
         return None
     n = sum(counts.values())
     weight = F.lit(1.0)
     if spec.params.get("class_weight") == "balanced":
-        weight = F.when(F.col("_y") == 1, n / (2.0 * counts[1.0])).otherwise(n / (2.0 * counts[0.0]))
-    if scaling is None:
-        scaling = scalings(train.withColumn("_all", F.lit(0)), features, "_all")[0]
+        weight = F.when(F.col("_y") == 1, n / (2.0 * counts[1])).otherwise(n / (2.0 * counts[0]))
     # Every iteration of the fit reads these rows.
     ready = train.select("_y", weight.alias("_weight"), array_to_vector(scale_with(features, scaling)).alias("_vector")).persist()
     model = _estimator(spec, n, seed).fit(ready)
@@ -109,7 +118,7 @@ def fit(train: DataFrame, spec: Spec, seed: int = 0, features: str = "features",
 
 def out_of_fold(
     rows: DataFrame, spec: Spec, n_folds: int, seed: int = 0, features: str = "features",
-    train_filter=None, fold: str = "fold",
+    train_filter=None, fold: str = "fold", y: str = "y",
 ) -> DataFrame | None:
     """Out-of-fold scores: each fold is scored by a model fitted on the others.
 
@@ -121,15 +130,15 @@ def out_of_fold(
         inside = {k: train_filter(df, k) for k, df in inside.items()}
         tagged = None
         for k, df in inside.items():
-            part = df.select(F.lit(k).alias("_out"), features)
+            part = df.select(F.lit(k).alias("_out"), y, features)
             tagged = part if tagged is None else tagged.unionByName(part)
     else:
         others = F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda k: k != F.col(fold))
-        tagged = rows.select(F.explode(others).alias("_out"), features)
-    known = scalings(tagged, features, "_out")
+        tagged = rows.select(F.explode(others).alias("_out"), y, features)
+    known, counts = scalings(tagged, features, "_out"), class_counts(tagged, "_out", y)
     out = None
     for k, df in inside.items():
-        fitted = fit(df, spec, seed, features, scaling=known[k]) if k in known else None
+        fitted = fit(df, spec, seed, features, y, known[k], counts[k]) if k in known else None
         if fitted is None:
             continue
         scored = fitted.score(rows.where(F.col(fold) == k))
@@ -147,18 +156,21 @@ def run_transfer(
     training_size: str = "full",
     features: str = "features",
     unit: str = "stay_id",
+    oracle: DataFrame | None = None,
 ) -> DataFrame:
     """Predictions of one cell, long: (label, model, seed, training_size, kind, unit_id, y, score, extra).
 
-    Transferred: fitted on `train`, scores all of `test`.  Oracle: out-of-fold inside `test`.
-    Other columns of `test` (a cluster, say) are carried along.  The frame is lazy over fitted models.
+    Transferred: fitted on `train`, scores all of `test`.  Oracle: out-of-fold inside `test`; it does not
+    depend on the training size and may be handed in.  Other columns of `test` (a cluster, say) are carried
+    along.  The frame is lazy over fitted models.
     """
     matched = match_training(train, test, training_size, n_folds, seed, ident=unit)
     fitted = fit(matched, spec, seed, features)
     if fitted is None:
         raise ValueError("the training rows hold one class only")
     scored = fitted.score(test).withColumn("kind", F.lit("transferred"))
-    oracle = out_of_fold(test, spec, n_folds, seed, features)
+    if oracle is None:
+        oracle = out_of_fold(test, spec, n_folds, seed, features)
     if oracle is not None:
         scored = scored.unionByName(oracle.withColumn("kind", F.lit("oracle")))
     head = {"label": label, "model": spec.label, "seed": seed, "training_size": training_size}
@@ -196,13 +208,14 @@ def run_grid(
 ) -> DataFrame:
     """Predictions of all cells as one frame, checkpointed: it is the input of every later summary."""
     out = None
-    for size in training_sizes:
+    for label in labels:
+        train = data.where(train_where).select(unit, F.col(label).alias("y"), features)
+        test = data.where(test_where).select(unit, F.col(label).alias("y"), features, "fold", *carry)
         for spec in specs:
-            for label in labels:
-                train = data.where(train_where).select(unit, F.col(label).alias("y"), features)
-                test = data.where(test_where).select(unit, F.col(label).alias("y"), features, "fold", *carry)
-                for seed in seeds:
-                    cell = run_transfer(train, test, spec, label, seed, n_folds, size, features, unit)
+            for seed in seeds:
+                oracle = out_of_fold(test, spec, n_folds, seed, features)
+                for size in training_sizes:
+                    cell = run_transfer(train, test, spec, label, seed, n_folds, size, features, unit, oracle)
                     out = cell if out is None else out.unionByName(cell)
     return cut_lineage(out)
 
