@@ -116,8 +116,8 @@ def test_cluster_bootstrap_equals_a_direct_one(spark):
 
 def test_unit_weights_are_paired_and_average_one(spark):
     units = spark.range(400).withColumnRenamed("id", "unit_id")
-    w = I.unit_weights(units, 50, 0)
-    assert w.where("rep = 0").count() == 400
+    w = I.unit_weights(units, 50, 0).select("unit_id", F.posexplode("weights").alias("rep", "w"))
+    assert w.where("rep = 0 AND w = 1").count() == 400
     mean = w.where("rep > 0").agg(F.sum("w") / F.lit(400 * 50)).head()[0]
     assert mean == pytest.approx(1.0, abs=0.03)
 

@@ -37,10 +37,12 @@ def poisson_weight(*parts: str | Column) -> Column:
 
 
 def unit_weights(units: DataFrame, n_boot: int, seed: int, unit: str = "unit_id") -> DataFrame:
-    """(unit, rep, w) with Poisson(1) weights > 0 for replicates 1..n, and weight 1 in replicate 0."""
-    reps = units.select(unit).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot))))
-    w = F.when(F.col("rep") == 0, F.lit(1)).otherwise(poisson_weight(F.lit(seed), "rep", unit))
-    return reps.withColumn("w", w).where(F.col("w") > 0)
+    """(unit, weights): 1 for replicate 0, Poisson(1) weights for replicates 1..n, one array per unit."""
+    weight = F.transform(
+        F.sequence(F.lit(0), F.lit(n_boot)),
+        lambda r: F.when(r == 0, F.lit(1)).otherwise(poisson_weight(F.lit(seed), r, F.col(unit))),
+    )
+    return units.select(unit).distinct().withColumn("weights", weight)
 
 
 def cluster_weights(clusters: DataFrame, n_boot: int, seed: int, cluster: str = "cluster") -> DataFrame:
@@ -81,18 +83,21 @@ def replicate_auroc(
     keys = list(keys)
     usable = pred.where(F.col("score").isNotNull() & F.col("y").isNotNull())
     if method == "poisson":
-        weighted = usable.join(unit_weights(usable, n_boot, seed), "unit_id")
+        counts, level = usable.withColumn("_n", F.lit(1)), "unit_id"
+        weights = unit_weights(usable, n_boot, seed)
     else:
         n_clusters = usable.select("cluster").distinct().limit(MAX_CLUSTERS + 1).count()
         if n_clusters > MAX_CLUSTERS:
             raise ValueError(f"more than {MAX_CLUSTERS} clusters: resample them as units with method='poisson'")
-        counts = usable.groupBy(*keys, "cluster", "y", "score").agg(F.count(F.lit(1)).alias("_n"))
-        weighted = (
-            counts.join(cluster_weights(usable, n_boot, seed), "cluster")
-            .select(*keys, "y", "score", "_n", F.posexplode("weights").alias("rep", "_w"))
-            .where(F.col("_w") > 0)
-            .withColumn("w", F.col("_w") * F.col("_n"))
-        )
+        counts, level = usable.groupBy(*keys, "cluster", "y", "score").agg(F.count(F.lit(1)).alias("_n")), "cluster"
+        weights = cluster_weights(usable, n_boot, seed)
+    # Each row meets one array; the replicates unfold after the join, so no shuffle carries them.
+    weighted = (
+        counts.join(weights, level)
+        .select(*keys, "y", "score", "_n", F.posexplode("weights").alias("rep", "_w"))
+        .where(F.col("_w") > 0)
+        .withColumn("w", F.col("_w") * F.col("_n"))
+    )
     return auroc(weighted, ["rep", *keys], weight="w").select("rep", *keys, "auroc")
 
 

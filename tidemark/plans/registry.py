@@ -901,12 +901,12 @@ def bootstrap(r, method="poisson"):
     return I.two_level_bootstrap(r.pred, "toxic", "quality", Q.N_BOOT, 0, method)
 
 
-@query("SELECT * FROM unit_draws", DRAWS)
+@query("SELECT * REPLACE (CAST(rep AS INTEGER) AS rep) FROM unit_draws", DRAWS)
 def bootstrap_gap(r):
     return bootstrap(r)[0]
 
 
-@query("SELECT * FROM source_draws", DRAWS)
+@query("SELECT * REPLACE (CAST(rep AS INTEGER) AS rep) FROM source_draws", DRAWS)
 def cluster_bootstrap_gap(r):
     return bootstrap(r, "multinomial")[0]
 
@@ -953,7 +953,7 @@ def draws_by_source_group(r) -> DataFrame:
         F.try_divide(F.sum(F.col("w") * F.col("t")).cast("double"), F.sum(F.col("w") * F.col("n"))).alias("draw"))
 
 
-@query("""SELECT rep, CASE WHEN count(d.draw) = 4 THEN sum(d.draw * w.n) / sum(w.n) END AS draw FROM (
+@query("""SELECT CAST(rep AS INTEGER) AS rep, CASE WHEN count(d.draw) = 4 THEN sum(d.draw * w.n) / sum(w.n) END AS draw FROM (
         SELECT lang, rep, sum(w * t) / nullif(sum(w * n), 0) AS draw FROM (SELECT lang, source, count(*) AS n, sum(toxic) AS t FROM scored GROUP BY 1, 2) x
         JOIN (SELECT c.cluster, c.rep, coalesce(w.w, 0) AS w FROM (SELECT cluster, unnest(generate_series(1, 100)) AS rep FROM sources) c LEFT JOIN source_w w ON w.cluster = c.cluster AND w.rep = c.rep) y ON y.cluster = x.source
         GROUP BY 1, 2) d

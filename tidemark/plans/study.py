@@ -56,7 +56,7 @@ class _Study:
     # cultures, feature_events, static, and the grouping column of the common cohort.
 
     # Frames that several steps read are written to the shared folder once.  All of them are one row per
-    # stay, per stay and hour, or per stay and action, far smaller than the tables they come from.
+    # stay, per stay and hour, or the few rows of the concepts in use, far smaller than the tables they come from.
 
     @cached_property
     def sofa(self) -> DataFrame:
@@ -173,7 +173,7 @@ class LabelStudy(_Study):
     @cached_property
     def labs(self) -> DataFrame:
         names = ["creatinine", "platelets", "bilirubin_total", "pao2"]
-        return C.lab(self.t.labevents, self.cohort, names, self.rules.max_hours)
+        return cut_lineage(C.lab(self.t.labevents, self.cohort, names, self.rules.max_hours))
 
     @cached_property
     def charts(self) -> DataFrame:
@@ -181,11 +181,11 @@ class LabelStudy(_Study):
 
     @cached_property
     def creatinine(self) -> DataFrame:
-        return C.lab(self.t.labevents, self.cohort, ["creatinine"], self.rules.max_hours)
+        return C.one_concept(self.labs, "creatinine")
 
     @cached_property
     def urine(self) -> DataFrame:
-        return C.urine_output(self.t.outputevents, self.cohort, self.rules.max_hours)
+        return cut_lineage(C.urine_output(self.t.outputevents, self.cohort, self.rules.max_hours))
 
     @cached_property
     def pressors(self) -> DataFrame:
@@ -254,21 +254,25 @@ class SiteStudy(_Study):
     def weight(self) -> DataFrame:
         return cut_lineage(O.weights(self.cohort))
 
+    @cached_property
+    def labs(self) -> DataFrame:
+        names = ["creatinine", "platelets", "bilirubin_total", "pao2"]
+        return cut_lineage(O.lab(self.t.o_lab, self.cohort, names, self.rules.max_hours))
+
     @cached_property
     def creatinine(self) -> DataFrame:
-        return O.lab(self.t.o_lab, self.cohort, ["creatinine"], self.rules.max_hours)
+        return C.one_concept(self.labs, "creatinine")
 
     @cached_property
     def urine(self) -> DataFrame:
-        return O.urine_output(self.t.o_intake, self.cohort, self.rules.max_hours)
+        return cut_lineage(O.urine_output(self.t.o_intake, self.cohort, self.rules.max_hours))
 
     @cached_property
     def score_inputs(self) -> DataFrame:
         hours = self.rules.max_hours
-        labs = O.lab(self.t.o_lab, self.cohort, ["creatinine", "platelets", "bilirubin_total", "pao2"], hours)
         pressure = O.vital(self.t.o_periodic, self.t.o_aperiodic, self.cohort, ["map"], hours)
         return S.score_events(
-            labs.unionByName(pressure), O.gcs_total(self.t.o_nurse, self.cohort, hours),
+            self.labs.unionByName(pressure), O.gcs_total(self.t.o_nurse, self.cohort, hours),
             O.ventilated_hours(self.t.o_respiratory, self.cohort, hours), self.urine,
             O.vasopressor_rates(self.t.o_infusion, self.cohort, hours),
         )
