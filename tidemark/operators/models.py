@@ -268,7 +268,8 @@ def learning_curve(
                 ).scalar()
                 return sample_n(inside, unit, wanted, 7000 + 100 * seed + k)
 
-            scored = out_of_fold(test, spec, n_folds, seed, features, thin)
+            # The whole fraction takes every training row, so nothing is drawn.
+            scored = out_of_fold(test, spec, n_folds, seed, features, thin if fraction < 1.0 else None)
             if scored is None:
                 continue
             point = auroc(scored).select(
