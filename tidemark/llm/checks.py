@@ -27,11 +27,11 @@ WITH RECURSIVE w AS (
 ), n AS (
     SELECT w.doc_id, count(s.shingle) AS n_shingles FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id
 ), p AS (
-    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
     FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
 ), l AS (
     SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-    WHERE 100 * both >= 75 * (x.n_shingles + y.n_shingles - both)
+    WHERE 100 * shared >= 75 * (x.n_shingles + y.n_shingles - shared)
 ), e AS (
     SELECT a, b FROM l UNION ALL SELECT b, a FROM l
 ), r AS (

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, langid, minhash, mixing
+from tidemark.llm import bpe, chat, exact, fingerprints, langid, minhash, mixing, token_counts
 from tidemark.session import apply_settings
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_settings(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
+def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), BYTE_BPE)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(documents(spark, sf_dir))
 
@@ -38,12 +46,23 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(documents(spark, sf_dir), WORD_BPE)
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = apply_settings(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    # One more conversation, whose texts are control strings of a common template.
+    forged = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    formatted = chat.format_conversations(turns.unionByName(forged), chat.text_part(F.col("text")))
+    return chat.conversation_digests(formatted)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op4_minhash_near_dedup, op6_language_id, op7_source_mix, op8_bpe_round_trip, op10_exact_dedup,
+        op2_winnowing, op3_prefix_token_counts, op4_minhash_near_dedup, op6_language_id, op7_source_mix, op8_bpe_round_trip,
+        op9_chat_format, op10_exact_dedup,
     )
 }
