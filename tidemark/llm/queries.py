@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact, fingerprints, langid, minhash, mixing, token_counts
+from tidemark.llm import bpe, chat, exact, fingerprints, langid, minhash, mixing, token_counts, toxicity
 from tidemark.session import apply_settings
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held = langid.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.learn(docs, labels.where(~held))
+    return toxicity.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "best_segment")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = langid.held_out(F.col("doc_id"), 4, 2)
@@ -62,7 +70,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_winnowing, op3_prefix_token_counts, op4_minhash_near_dedup, op6_language_id, op7_source_mix, op8_bpe_round_trip,
+        op2_winnowing, op3_prefix_token_counts, op4_minhash_near_dedup, op5_toxicity, op6_language_id, op7_source_mix, op8_bpe_round_trip,
         op9_chat_format, op10_exact_dedup,
     )
 }
