@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact, fingerprints, langid, minhash, mixing, token_counts, toxicity
+from tidemark.llm import bpe, chat, exact, fingerprints, langid, minhash, mixing, pii, token_counts, toxicity
 from tidemark.session import apply_settings
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_settings(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find_spans(docs, pii.learn(docs))
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
@@ -70,7 +75,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_winnowing, op3_prefix_token_counts, op4_minhash_near_dedup, op5_toxicity, op6_language_id, op7_source_mix, op8_bpe_round_trip,
+        op1_pii_spans, op2_winnowing, op3_prefix_token_counts, op4_minhash_near_dedup, op5_toxicity, op6_language_id, op7_source_mix, op8_bpe_round_trip,
         op9_chat_format, op10_exact_dedup,
     )
 }
