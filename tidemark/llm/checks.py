@@ -18,11 +18,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(flat) AS te
 NEAR = rf"""
 WITH RECURSIVE w AS (
     SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                  '{WHITE}+'), x -> x <> '') AS words
+                                                  '{WHITE}+'), lambda x: x <> '') AS words
     FROM documents
 ), s AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-        ELSE list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')) END) AS shingle
+        ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
     FROM w
 ), n AS (
     SELECT w.doc_id, count(s.shingle) AS n_shingles FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id
@@ -44,7 +44,63 @@ WITH RECURSIVE w AS (
 SELECT n.doc_id, n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN c ON c.node = n.doc_id
 """
 
+MIX = r"""
+WITH d AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (
+    SELECT source, sum(size) AS total, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
+), w AS (
+    SELECT source, total, CAST([3, 1, 2][place % 3 + 1] AS DOUBLE) AS weight FROM s
+), r AS (
+    SELECT *, 1.5 * sum(total) OVER () AS goal, 2.0 * total AS cap,
+           coalesce(sum(2.0 * total) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+           sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+    FROM w WINDOW o AS (ORDER BY 2.0 * total / weight, source NULLS LAST)
+), l AS (
+    SELECT *, max(CASE WHEN (goal - before) / open <= cap / weight THEN (goal - before) / open END) OVER () AS level FROM r
+), p AS (
+    SELECT source, total, coalesce(least(cap, level * weight), cap) AS target FROM l
+), q AS (
+    SELECT d.doc_id, d.source, size, total, target, CASE WHEN total > 0 THEN floor(target / total) ELSE 0 END AS whole,
+           size * (1 + ln(1 + size)) AS drawn, 1 + ln(1 + size) AS appeal,
+           (CAST('0x' || substr(md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+    FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), c AS (
+    SELECT *, target - whole * total AS want,
+           least(1 - 1e-9, greatest(1e-9, coalesce((target - whole * total) * appeal / nullif(sum(drawn) OVER (PARTITION BY source), 0), 1e-9))) AS chance
+    FROM q
+), k AS (
+    SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (chance / (1 - chance)), doc_id
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM c
+)
+SELECT doc_id, size, CAST(total AS BIGINT) AS source_size, target,
+       CAST(size * (whole + CASE WHEN want > 0 AND before + size / 2.0 <= want THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM k
+"""
+
+
+def _more(text: str, signs: str) -> str:
+    """SQL for the characters that escaping adds to a text."""
+    return " + ".join(f"length({text}) - length(replace({text}, {sign}, ''))" for sign in signs.split())
+
+
+CHAT = f"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(sum(length(role) + length(text) + 8 + {_more('text', "'<' '[' chr(92)")} + {_more('role', "'<' '[' chr(92) chr(10)")}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 CHECKS = {
     "op4_minhash_near_dedup": NEAR,
+    "op7_source_mix": MIX,
+    "op9_chat_format": CHAT,
     "op10_exact_dedup": EXACT,
 }
