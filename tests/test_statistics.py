@@ -34,18 +34,35 @@ def test_auroc_of_ties_and_of_one_class(frame):
     assert Q.auroc(frame("y int, score double", (1, 1.0), (1, 2.0))).head()["auroc"] is None
 
 
+@pytest.mark.parametrize("low, high", [(1e6, 1e6 + 1), (0.0, 1e-4), (-1e-300, 1e-300)])
+def test_cells_are_even_for_narrow_scores(spark, low, high):
+    """Split points come from the data, so no cell holds much more than its share however narrow the range is."""
+    df = spark.range(40_000).select(F.lit("g").alias("g"), (F.lit(low) + F.lit(high - low) * F.rand(5)).alias("v")).distinct()
+    sizes = Q.cells(df, ["g"], "v").groupBy("_d1", "_d2").count()
+    top, n = sizes.agg(F.max("count"), F.count("count")).first()
+    assert top <= 6 * df.count() / Q.PARTS**2 and n > Q.PARTS**2 / 2
+
+
+def test_narrow_scores_rank_exactly(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"y": rng.integers(0, 2, 900), "score": 1e6 + rng.random(900), "w": 1.0})
+    got = Q.auroc(spark.createDataFrame(pdf)).head()["auroc"]
+    assert got == pytest.approx(direct_auroc(pdf.y.values, pdf.score.values, pdf.w.values))
+
+
 def test_quantiles_equal_linear_interpolation(spark, monkeypatch):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"g": rng.choice(["a", "b", None], 5000), "v": np.concatenate([rng.normal(0, 1, 3000), np.repeat(2.0, 2000)])})
     probs = [0.0, 0.1, 0.5, 0.501, 0.9, 1.0]
-    for small in (100_000, 10):  # without and with brackets
-        monkeypatch.setattr(Q, "SMALL_GROUP", small)
-        monkeypatch.setattr(Q, "SKETCH_ACCURACY", 10_000 if small > 10 else 200)
+    for accuracy in (2_000, 100):
+        monkeypatch.setattr(Q, "SKETCH_ACCURACY", accuracy)
         got = {(r.g, r.p): r["quantile"] for r in Q.quantiles(spark.createDataFrame(pdf), ["g"], "v", probs).collect()}
         for g in ("a", "b", None):
             values = pdf.v[pdf.g.isna() if g is None else pdf.g == g]
             for p in probs:
-                assert got[g, p] == pytest.approx(np.quantile(values, p)), (small, g, p)
+                assert got[g, p] == pytest.approx(np.quantile(values, p)), (accuracy, g, p)
+    whole = {r.p: r["quantile"] for r in Q.quantiles(spark.createDataFrame(pdf), [], "v", probs).collect()}
+    assert whole == {p: pytest.approx(np.quantile(pdf.v, p)) for p in probs}
 
 
 def test_sample_takes_exactly_n(spark):

@@ -5,10 +5,8 @@ as defaults and accept replacements.
 """
 
 # --- cohort rules -----------------------------------------------------------
-EPOCHS = ["2008 - 2010", "2011 - 2013", "2014 - 2016", "2017 - 2019", "2020 - 2022"]
 MIN_AGE = 18
 MIN_LOS_HOURS = 12.0
-MIN_CELL = 20
 
 # --- site quality rules -----------------------------------------------------
 MIN_STAYS_PER_SITE = 100
@@ -74,7 +72,6 @@ INPUT_CONCEPTS = {
     "phenylephrine": [221749, 229630, 229632],
 }
 SCORED_PRESSORS = ["norepinephrine", "epinephrine", "dopamine", "dobutamine"]
-PROCEDURE_CONCEPTS = {"invasive_ventilation": [225792], "noninvasive_ventilation": [225794]}
 LB_TO_KG = 0.45359237
 WEIGHT_VALID = [20, 400]
 WEIGHT_WINDOW_HOURS = 48
@@ -95,24 +92,6 @@ SIGNALS = [
     ("chart_resp_rate_set", "chartevents", 224688),
 ]
 
-# --- fixed values: dictionary search needles ---------------------------------
-LAB_NEEDLES = {
-    "creatinine": ["creatinine"], "bilirubin": ["bilirubin"], "platelets": ["platelet"],
-    "lactate": ["lactate", "lactic"], "pao2": ["po2", "oxygen"], "bicarbonate": ["bicarbonate"],
-    "wbc": ["white blood cell", "leukocyte"], "sodium": ["sodium"], "potassium": ["potassium"],
-    "hemoglobin": ["hemoglobin"], "bun": ["urea nitrogen"], "glucose": ["glucose"],
-}
-ITEM_NEEDLES = {
-    "heart_rate": ["heart rate"],
-    "sbp": ["systolic", "arterial blood pressure systolic", "non invasive blood pressure systolic"],
-    "map": ["mean arterial", "blood pressure mean", "arterial blood pressure mean"],
-    "resp_rate": ["respiratory rate"], "temperature": ["temperature"],
-    "spo2": ["o2 saturation", "spo2"], "fio2": ["fio2", "inspired o2"], "gcs": ["gcs", "glasgow"],
-    "urine_output": ["urine", "foley", "void"], "weight": ["weight"], "height": ["height"],
-    "vent_mode": ["ventilator mode", "o2 delivery device"],
-    "vasopressor": ["norepinephrine", "epinephrine", "dopamine", "dobutamine", "vasopressin", "phenylephrine"],
-}
-
 # --- fixed values: cultures ---------------------------------------------------
 SURVEILLANCE_PATTERNS = ["%SCREEN%", "%MRSA%", "%VRE%", "%SURVEILLANCE%"]
 SURVEILLANCE_EXACT = ["STAPH AUREUS SWAB"]
@@ -129,20 +108,24 @@ EXCLUDED_ROUTES = [
     "OU", "OS", "OD", "AU", "AS", "AD", "IRR", "TP", "BOTH EYES", "LEFT EYE", "RIGHT EYE",
     "DESENSITIZATION", "EAR", "EYE",
 ]
-ANTIBIOTIC_STEMS = """
-adoxa ala-tet alodox amikacin amikin amoxicillin amphotericin ampicillin augmentin avelox avidoxy azactam
-azithromycin aztreonam bactocill bactrim bethkis biaxin bicillin cayston cefazolin cefepime cefotan cefotetan
-cefotaxime cefpodoxime cefoxitin ceftazidime ceftin ceftriaxone cefuroxime cephalexin chloramphenicol cipro
-ciprofloxacin claforan clarithromycin cleocin clindamycin cubicin dalvance daptomycin declomycin dicloxacillin
-dirithromycin doryx doxycycline duricef dynacin ery-tab eryped eryc erythrocin erythromycin factive flagyl
-fortaz furadantin garamycin gentamicin kanamycin keflex ketek levaquin levofloxacin lincocin linezolid macrobid
-macrodantin maxipime mefoxin meropenem methicillin metronidazole minocin minocycline monodox monurol morgidox
-moxatag moxifloxacin myrac nafcillin neomycin nicazel nitrofurantoin norfloxacin ocudox ofloxacin omnicef oracea
-oraxyl oxacillin penicillin periostat pfizerpen piperacillin primsol proquin raniclor rifadin rifampin rocephin
-smz-tmp septra solodyn spectracef streptomycin sulfadiazine sulfamethoxazole sulfatrim sulfisoxazole suprax
-synercid tazicef tetracycline timentin tinidazole tobi tobramycin trimethoprim unasyn vancocin vancomycin vantin
-vibativ vibra-tabs vibramycin zithromax zosyn zyvox
-""".split() + ["pc pen vk"]
+ANTIBIOTIC_STEMS = [
+    "adoxa", "ala-tet", "alodox", "amikacin", "amikin", "amoxicillin", "amphotericin", "ampicillin", "augmentin",
+    "avelox", "avidoxy", "azactam", "azithromycin", "aztreonam", "bactocill", "bactrim", "bethkis", "biaxin",
+    "bicillin", "cayston", "cefazolin", "cefepime", "cefotan", "cefotetan", "cefotaxime", "cefpodoxime", "cefoxitin",
+    "ceftazidime", "ceftin", "ceftriaxone", "cefuroxime", "cephalexin", "chloramphenicol", "cipro", "ciprofloxacin",
+    "claforan", "clarithromycin", "cleocin", "clindamycin", "cubicin", "dalvance", "daptomycin", "declomycin",
+    "dicloxacillin", "dirithromycin", "doryx", "doxycycline", "duricef", "dynacin", "ery-tab", "eryped", "eryc",
+    "erythrocin", "erythromycin", "factive", "flagyl", "fortaz", "furadantin", "garamycin", "gentamicin", "kanamycin",
+    "keflex", "ketek", "levaquin", "levofloxacin", "lincocin", "linezolid", "macrobid", "macrodantin", "maxipime",
+    "mefoxin", "meropenem", "methicillin", "metronidazole", "minocin", "minocycline", "monodox", "monurol",
+    "morgidox", "moxatag", "moxifloxacin", "myrac", "nafcillin", "neomycin", "nicazel", "nitrofurantoin",
+    "norfloxacin", "ocudox", "ofloxacin", "omnicef", "oracea", "oraxyl", "oxacillin", "pc pen vk", "penicillin",
+    "periostat", "pfizerpen", "piperacillin", "primsol", "proquin", "raniclor", "rifadin", "rifampin", "rocephin",
+    "smz-tmp", "septra", "solodyn", "spectracef", "streptomycin", "sulfadiazine", "sulfamethoxazole", "sulfatrim",
+    "sulfisoxazole", "suprax", "synercid", "tazicef", "tetracycline", "timentin", "tinidazole", "tobi", "tobramycin",
+    "trimethoprim", "unasyn", "vancocin", "vancomycin", "vantin", "vibativ", "vibra-tabs", "vibramycin", "zithromax",
+    "zosyn", "zyvox",
+]
 
 # --- fixed values: order and diagnosis text -------------------------------------
 CULTURE_ORDER_PATTERNS = ["%culture%", "%micro%", "%blood cx%"]
@@ -202,13 +185,10 @@ TEMPERATURE_VALID = [25, 45]
 
 # --- models and inference --------------------------------------------------------
 LABELS = ["aki_creatinine", "sofa_dysfunction", "aki_urine", "sepsis3"]
-CONTRASTS = [("DiD_sepsis", "sepsis3", "sofa_dysfunction"), ("DiD_aki", "aki_urine", "aki_creatinine")]
 TUNED_LOGREG = {"C": 10.0, "max_iter": 2000, "class_weight": "balanced"}
 TUNED_TREES = {"max_depth": 4, "learning_rate": 0.03, "n_estimators": 600, "subsample": 0.8}
 N_FOLDS = 5
-N_SEEDS = 15
 N_BOOT = 2000
-N_BOOT_DECOMPOSE = 600
 SESOI = 0.010
 ALPHA = 0.05
 MAX_UNDEFINED_SHARE = 0.05
@@ -217,5 +197,4 @@ PLAUSIBLE_AUROC = (0.6, 0.9)
 LEARNING_FRACTIONS = [0.25, 0.5, 0.75, 1.0]
 MIN_LEARNING_ROWS = 50
 MIN_REGION_STAYS = 500
-MIN_CELL_STAYS = 300
 SEED_GRID = [5, 10, 15, 20]

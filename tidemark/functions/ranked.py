@@ -1,14 +1,13 @@
 """Exact rank statistics without a whole group in one task.
 
-AUROC: ranks need a cumulative sum in score order, and a plain window puts a whole group into one
-task.  Here every score gets two digits, a coarse and a fine one, from a non-decreasing function of
-the score.  Rows are first collapsed to one per distinct score (a hash aggregate with map-side
-combine), then summed score -> fine digit -> coarse digit.  Every window covers one digit only: at
-most a few thousand coarse digits, 4096 fine digits, or the distinct scores that share both digits.
-The digits steer the grouping only; comparisons use the score.
-
-Quantiles: a sketch brackets them, an exact count decides.  Samples: a hash prefix decides for all
-rows but those of one bin.
+Ranks need a cumulative sum in value order, and a plain window puts a whole group into one task.  Here rows are first
+collapsed to one per distinct value (a hash aggregate with map-side combine), then cut into cells at split
+points taken from the data: a mergeable sketch of the distinct values of a group gives PARTS - 1 split points, another
+one those of each part.  Windows cover the parts of a group, the cells of a part, or the distinct values of a
+cell, about 1 / PARTS^2 of the group's.  The cuts steer the grouping only; comparisons use the value, and the same path is
+taken at every size.
+
+Samples: a hash prefix decides for all rows but those of one bin.
 """
 
 from __future__ import annotations
@@ -20,17 +19,27 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import hash_int, join_groups
 
-COARSE = 64
-FINE = 4096
-SKETCH_ACCURACY = 10_000
-SMALL_GROUP = 100_000
+PARTS = 64
+SKETCH_ACCURACY = 2_000
 
 
-def _digits(value: Column) -> tuple[Column, Column]:
-    v = value.cast("double")
-    scaled = F.signum(v) * F.log1p(F.abs(v)) * F.lit(float(COARSE))
-    coarse = F.floor(scaled)
-    return coarse, F.floor((scaled - coarse) * F.lit(float(FINE)))
+def _parts(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """`name`: how many of the split points of its group lie below a row's value (rows are distinct values)."""
+    shares = [i / PARTS for i in range(1, PARTS)]
+    splits = df.groupBy(*keys).agg(F.array_distinct(F.approx_percentile(value, shares, F.lit(SKETCH_ACCURACY))).alias("_splits"))
+    joined = join_groups(df, splits, keys) if keys else df.withColumn("_splits", splits.scalar())
+    return joined.withColumn(name, F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
+
+
+def cells(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows, one per key group and distinct value, with the part `_d1` and the cell `_d2` of the part they lie in."""
+    return _parts(_parts(df, keys, value, "_d1"), [*keys, "_d1"], value, "_d2")
+
+
+def _before(df: DataFrame, keys: Sequence[str], order: str, value: str) -> Column:
+    """Sum of `value` over the rows before in `order`."""
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(earlier), F.lit(0))
 
 
 def auroc(
@@ -42,29 +51,22 @@ def auroc(
 ) -> DataFrame:
     """Mid-rank AUROC per key group: columns keys, n_pos, n_neg, auroc (NULL with one class only).
 
-    With `weight` each row counts that many times.  Concordant pairs are merged bottom-up:
-    an ordered run of parts has sum(u) + sum(p * negatives in earlier parts).
+    With `weight` each row counts that many times.  Concordant pairs are merged bottom-up, cell, part, group:
+    an ordered run of pieces has sum(u) + sum(p * negatives in earlier pieces).
     """
     keys = list(keys)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     positive = F.col(y).cast("double")
-    coarse, fine = _digits(F.col(score))
-    leaf = (
+    collapsed = (
         df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(y).isNotNull())
-        .select(*keys, coarse.alias("_d1"), fine.alias("_d2"), F.col(score).cast("double").alias("_s"),
-                (w * positive).alias("_p"), (w * (1.0 - positive)).alias("_q"))
-        .groupBy(*keys, "_d1", "_d2", "_s")
+        .select(*keys, F.col(score).cast("double").alias("_s"), (w * positive).alias("_p"), (w * (1.0 - positive)).alias("_q"))
+        .groupBy(*keys, "_s")
         .agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
-        .withColumn("_u", F.col("_p") * F.col("_q") / 2.0)
     )
-    level = leaf
+    level = cells(collapsed, keys, "_s").withColumn("_u", F.col("_p") * F.col("_q") / 2.0)
     for parent, order in ((["_d1", "_d2"], "_s"), (["_d1"], "_d2"), ([], "_d1")):
-        earlier = (
-            Window.partitionBy(*keys, *parent).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        below = F.coalesce(F.sum("_q").over(earlier), F.lit(0.0))
         level = (
-            level.withColumn("_u", F.col("_u") + F.col("_p") * below)
+            level.withColumn("_u", F.col("_u") + F.col("_p") * _before(level, [*keys, *parent], order, "_q"))
             .groupBy(*keys, *parent)
             .agg(*[F.sum(c).alias(c) for c in ("_p", "_q", "_u")])
         )
@@ -79,56 +81,42 @@ def auroc(
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact linear-interpolation quantiles, long form: keys, p, n, quantile.
 
-    A mergeable sketch brackets each quantile (its rank error is at most n / 10000; the bracket is three
-    times that wide).  Values inside a bracket are counted one by one, all others only per stretch
-    between brackets, so the ordered part holds about 0.1 % of a large group.  Groups of up to
-    100000 rows need no bracket.  A rank outside its bracket would be an error, not a wrong result.
+    Counts per part and per cell tell in which cells the wanted ranks lie; only values of those cells are put in order.
 
     For values with a bounded number of distinct levels (ages, ticks of a limited window)
     `F.percentile` is one aggregate and simpler.
     """
     keys, probs = list(keys), sorted(float(p) for p in probs)
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
-        *keys, F.col(value).cast("double").alias("_v")
+    distinct = (
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+        .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
     )
-    margin = 3.0 / SKETCH_ACCURACY
-    edges = [min(max(p + side, 0.0), 1.0) for p in probs for side in (-margin, margin)]
-    sketch = F.approx_percentile("_v", F.array(*[F.lit(e) for e in edges]), F.lit(SKETCH_ACCURACY))
-    large = F.col("n") > SMALL_GROUP
-    bounds = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch.alias("_e")).select(
-        *keys, "n", F.when(large, F.col("_e")).alias("_e")
-    )
-    # Stretch number: how many brackets end below the value; inside: not before the next bracket starts.
-    stretch, inside = F.lit(0), F.lit(False)
-    for i, p in enumerate(probs):
-        if p + margin < 1.0:
-            stretch = stretch + F.coalesce((F.col("_v") > F.col("_e")[2 * i + 1]).cast("int"), F.lit(0))
-        lower = F.lit(True) if p - margin <= 0.0 else F.coalesce(F.col("_v") >= F.col("_e")[2 * i], F.lit(True))
-        inside = inside | ((F.col("_k") == i) & lower)
-    counted = (
-        join_groups(rows, bounds, keys)
-        .withColumn("_k", stretch).withColumn("_in", inside)
-        .groupBy(*keys, "_k", "_in", F.when(F.col("_in"), F.col("_v")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_m"), F.max("n").alias("n"))
-    )
-    ordered = Window.partitionBy(*keys).orderBy("_k", "_in", "_v").rowsBetween(Window.unboundedPreceding, -1)
-    pos = (F.col("n") - 1) * F.col("p")
-    lo, hi = F.floor(pos).cast("bigint"), F.ceil(pos).cast("bigint")
+    placed = cells(distinct, keys, "_v")
+    of_cell = placed.groupBy(*keys, "_d1", "_d2").agg(F.sum("_m").alias("_c"))
+    of_part = of_cell.groupBy(*keys, "_d1").agg(F.sum("_c").alias("_c"))
+    every = Window.partitionBy(*keys)
+    parts = of_part.select(*keys, "_d1", _before(of_part, keys, "_d1", "_c").alias("_b1"), F.sum("_c").over(every).alias("n"))
     wanted = F.array(*[F.lit(p) for p in probs])
-    first, after = F.col("_lo"), F.col("_lo") + F.col("_m")
     ranks = F.array_distinct(F.flatten(F.transform(wanted, lambda p: F.array(
         F.floor((F.col("n") - 1) * p).cast("bigint"), F.ceil((F.col("n") - 1) * p).cast("bigint")))))
+    held = (
+        join_groups(of_cell.withColumn("_b2", _before(of_cell, [*keys, "_d1"], "_d2", "_c")), parts, [*keys, "_d1"])
+        .withColumn("_from", F.col("_b1") + F.col("_b2"))
+        .withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_c"))))
+        .where(F.size("_ranks") > 0).select(*keys, "_d1", "_d2", "_from", "_ranks", "n")
+    )
+    inside = join_groups(placed, held, [*keys, "_d1", "_d2"])
+    first = F.col("_from") + _before(inside, [*keys, "_d1", "_d2"], "_v", "_m")
     hits = (
-        counted.withColumn("_lo", F.coalesce(F.sum("_m").over(ordered), F.lit(0)))
-        .withColumn("_r", F.explode(F.filter(ranks, lambda r: (r >= first) & (r < after))))
-        .withColumn("_v", F.when(F.col("_in"), F.col("_v")).otherwise(
-            F.raise_error(F.lit("quantile outside its bracket")).cast("double")))
+        inside.withColumn("_lo", first)
+        .withColumn("_r", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_lo")) & (r < F.col("_lo") + F.col("_m")))))
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"), F.max("n").alias("n"))
         .withColumn("p", F.explode(wanted))
     )
-    low, high = F.element_at("_at", lo), F.element_at("_at", hi)
-    return hits.select(*keys, "p", "n", (low + (high - low) * (pos - lo)).alias("quantile"))
+    pos = (F.col("n") - 1) * F.col("p")
+    low, high = F.element_at("_at", F.floor(pos).cast("bigint")), F.element_at("_at", F.ceil(pos).cast("bigint"))
+    return hits.select(*keys, "p", "n", (low + (high - low) * (pos - F.floor(pos))).alias("quantile"))
 
 
 def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -18,8 +18,6 @@ from tidemark.functions.ranked import medians
 from tidemark.operators import concepts as C
 from tidemark.operators.temporal import fill_forward
 
-MAX_LEVELS = 1000
-
 
 @dataclass(frozen=True)
 class MatrixNames:
@@ -144,11 +142,8 @@ def sequence_view(panel: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 
 def levels(df: DataFrame, column: str) -> list[str]:
-    """Sorted non-null levels of a categorical column; refuses a column with too many."""
-    found = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().limit(MAX_LEVELS + 1).collect()]
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} levels; it is no categorical feature")
-    return sorted(found)
+    """Sorted non-null levels of a categorical column: the names of its 0/1 columns, so as many as the matrix has columns."""
+    return sorted(r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().collect())
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> dict[str, Column]:

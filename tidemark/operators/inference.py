@@ -8,6 +8,7 @@ contrasts stay paired.  Replicate 0 is the sample itself.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,17 +19,23 @@ from tidemark.functions.columns import hash_int, hash_uniform, join_groups, requ
 from tidemark.functions.ranked import auroc
 from tidemark.session import cut_lineage
 
-MAX_CLUSTERS = 20_000
 
-# Cumulative Poisson(1) probabilities for weights 0, 1, 2, ...
-POISSON_CUTS = [
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-    0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217,
-]
+def poisson_cuts() -> list[float]:
+    """Cumulative Poisson(1) probabilities of 0, 1, 2, ... up to the last that a double tells from 1."""
+    cuts, term = [], math.exp(-1)
+    total = term
+    while total < 1.0 and (not cuts or total > cuts[-1]):
+        cuts.append(total)
+        term /= len(cuts)
+        total += term
+    return cuts
+
+
+POISSON_CUTS = poisson_cuts()
 
 
 def poisson_weight(*parts: str | Column) -> Column:
-    """Poisson(1) weight by inversion of a hash: no shuffle, same value wherever it is computed."""
+    """Poisson(1) weight by inversion of a 52-bit hash: no shuffle, same value wherever it is computed."""
     u = hash_uniform(*parts)
     out = F.lit(len(POISSON_CUTS))
     for k in reversed(range(len(POISSON_CUTS))):
@@ -49,13 +56,13 @@ def cluster_weights(clusters: DataFrame, n_boot: int, seed: int, cluster: str =
     """(cluster, weights): how often each cluster is drawn in replicates 0..n, as one array per cluster.
 
     Exact resampling of K clusters out of K: draw j of replicate r takes the cluster ranked
-    md5(seed:r:j) mod K.  One row per cluster; the number of clusters is checked.
+    md5(seed:r:j) mod K.  Draw j is made where cluster j is, so the draws are as spread as the clusters.
     """
     ranked = clusters.select(cluster).distinct().withColumn("_i", F.row_number().over(Window.orderBy(cluster)) - 1)
     k = ranked.agg(F.count(F.lit(1)).cast("int").alias("k"))
     draws = (
-        k.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        ranked.select(F.col("_i").alias("_j")).repartition("_j").withColumn("k", k.scalar())
+        .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
         .select("rep", F.pmod(hash_int(F.lit(seed), "rep", "_j"), F.col("k")).cast("int").alias("_i"))
         .groupBy("_i", "rep").agg(F.count(F.lit(1)).cast("int").alias("w"))
         .groupBy("_i").agg(F.map_from_entries(F.collect_list(F.struct("rep", "w"))).alias("_w"))
@@ -86,9 +93,6 @@ def replicate_auroc(
         counts, level = usable.withColumn("_n", F.lit(1)), "unit_id"
         weights = unit_weights(usable, n_boot, seed)
     else:
-        n_clusters = usable.select("cluster").distinct().limit(MAX_CLUSTERS + 1).count()
-        if n_clusters > MAX_CLUSTERS:
-            raise ValueError(f"more than {MAX_CLUSTERS} clusters: resample them as units with method='poisson'")
         counts, level = usable.groupBy(*keys, "cluster", "y", "score").agg(F.count(F.lit(1)).alias("_n")), "cluster"
         weights = cluster_weights(usable, n_boot, seed)
     # Each row meets one array; the replicates unfold after the join, so no shuffle carries them.
@@ -190,7 +194,7 @@ def p_two_sided(draw: Column, null: float = 0.0) -> Column:
 def require_usable(summary: DataFrame) -> None:
     bad = summary.where(~F.col("usable")).take(1)
     if bad:
-        raise ValueError(f"{bad[0].n_undefined} of {bad[0].n_draws} replicates are undefined: too few clusters carry events")
+        raise ValueError(f"no interval: {bad[0].n_undefined} of {bad[0].n_draws} draws have only one class")
 
 
 def two_level_bootstrap(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from tidemark import config
+from tidemark.operators.inference import POISSON_CUTS
 from tidemark.plans.roles import with_roles
 
 T = config.PREDICTION_HOUR
@@ -227,12 +228,8 @@ def auroc_sql(rows: str, keys: Sequence[str]) -> str:
               FROM (SELECT {k}score, sum(w * y) AS p, sum(w * (1e0 - y)) AS q FROM {rows} GROUP BY {k}score)) {group}"""
 
 
-POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-           0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217]
-
-
 def poisson_sql(u: str) -> str:
-    return "CASE " + " ".join(f"WHEN {u} < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(POISSON)) + f" ELSE {len(POISSON)} END"
+    return "CASE " + " ".join(f"WHEN {u} < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(POISSON_CUTS)) + f" ELSE {len(POISSON_CUTS)} END"
 
 
 def draws_sql(gaps: str, a: str, b: str, n_boot: int = N_BOOT) -> str:
@@ -451,7 +448,7 @@ SHARED: dict[str, str] = {
         LEFT JOIN feature_rows f ON f.stay_id = g.stay_id AND floor(f.hours) = g.hour GROUP BY 1, 2""",
     # --- inference
     "unit_w": f"""SELECT unit_id, rep, CASE WHEN rep = 0 THEN 1 ELSE {poisson_sql('u')} END AS w
-        FROM (SELECT unit_id, rep, ({hash_sql("'0:' || rep || ':' || unit_id")} + 0.5e0) / 4294967296e0 AS u
+        FROM (SELECT unit_id, rep, (CAST('0x' || substr(md5('0:' || rep || ':' || unit_id), 1, 13) AS BIGINT) + 0.5e0) / {float(1 << 52)!r}::DOUBLE AS u
               FROM (SELECT doc_id AS unit_id, unnest(generate_series(0, {N_BOOT})) AS rep FROM scored))""",
     "unit_auroc": auroc_sql("(SELECT p.*, u.rep, u.w FROM pred p JOIN unit_w u ON u.unit_id = p.unit_id WHERE u.w > 0)",
                             ["rep", "label", "model", "seed", "kind"]),

@@ -49,9 +49,9 @@ ROLES: dict[str, str] = {
         FROM ev WHERE event_type IN ('view', 'click', 'signup')""",
     "chartevents": """
         SELECT e.user_id AS stay_id, e.ts AS charttime,
-               CASE m.item WHEN 'map' THEN 220052 WHEN 'fio2' THEN 223835 WHEN 'eye' THEN 220739 WHEN 'verbal' THEN 223900 WHEN 'motor' THEN 223901
-                    WHEN 'vent' THEN CASE WHEN e.k < 20 THEN 220339 ELSE 223849 END
-                    WHEN 'weight' THEN CASE WHEN e.k < 30 THEN 226512 ELSE 226531 END
+               CASE m.item WHEN 'map' THEN 220052 WHEN 'fio2' THEN 223835 WHEN 'eye' THEN 220739 WHEN 'verbal' THEN CASE WHEN e.k % 7 = 0 THEN 1 ELSE 223900 END WHEN 'motor' THEN 223901
+                    WHEN 'vent' THEN CASE WHEN e.k < 20 THEN 220339 WHEN e.k < 40 THEN 223849 ELSE 1 END
+                    WHEN 'weight' THEN CASE WHEN e.k < 30 THEN 226512 WHEN e.k < 60 THEN 226531 ELSE 1 END
                     WHEN 'pulse' THEN 220045 ELSE CASE WHEN e.k % 2 = 0 THEN 223761 ELSE 223762 END END AS itemid,
                CASE WHEN m.item = 'vent' AND e.k >= 20 THEN 'SIMV' END AS value,
                CASE m.item WHEN 'map' THEN 50e0 + e.value WHEN 'fio2' THEN CASE WHEN e.k % 4 = 0 THEN e.k / 100e0 ELSE 15e0 + e.k END
@@ -61,8 +61,7 @@ ROLES: dict[str, str] = {
                     WHEN 'pulse' THEN 50e0 + e.value ELSE CASE WHEN e.k % 2 = 0 THEN 90e0 + e.k / 5e0 ELSE 30e0 + e.k / 6e0 END END AS valuenum
         FROM ev e JOIN (VALUES ('view', 'map'), ('purchase', 'map'), ('click', 'fio2'), ('signup', 'eye'), ('signup', 'verbal'), ('signup', 'motor'),
                                ('error', 'vent'), ('purchase', 'weight'), ('error', 'pulse'), ('signup', 'pulse'), ('view', 'temperature')) AS m(kind, item)
-             ON m.kind = e.event_type
-        WHERE NOT (m.item = 'verbal' AND e.k % 7 = 0) AND NOT (m.item = 'vent' AND e.k >= 40) AND NOT (m.item = 'weight' AND e.k >= 60)""",
+             ON m.kind = e.event_type""",
     "outputevents": """
         SELECT user_id AS stay_id, ts AS charttime, CASE WHEN k % 10 = 0 THEN 227488 ELSE 226559 END AS itemid,
                CAST(floor(value * 6e0) AS DOUBLE) AS value
@@ -97,9 +96,9 @@ ROLES: dict[str, str] = {
                CASE WHEN k % 9 = 0 THEN 'not timed' ELSE CAST(ts AS VARCHAR(30)) END AS ordertime
         FROM ev WHERE event_type IN ('signup', 'click')""",
     "diagnoses_icd": """
-        SELECT user_id AS hadm_id, CASE k % 6 WHEN 0 THEN 'U07.1' WHEN 1 THEN 'u071' WHEN 2 THEN 'J18.9' ELSE 'A41.9' END AS icd_code,
+        SELECT user_id AS hadm_id, CASE WHEN k >= 30 THEN 'R69' ELSE CASE k % 6 WHEN 0 THEN 'U07.1' WHEN 1 THEN 'u071' WHEN 2 THEN 'J18.9' ELSE 'A41.9' END END AS icd_code,
                CASE WHEN k % 12 < 6 THEN 10 ELSE 9 END AS icd_version
-        FROM ev WHERE event_type = 'signup' AND k < 30""",
+        FROM ev WHERE event_type = 'signup'""",
     # --- cohort study on orders -----------------------------------------------------
     "order_stays": """
         SELECT o_custkey AS subject_id, o_orderkey AS hadm_id, o_orderkey AS stay_id, o_orderdate AS intime,
@@ -167,24 +166,27 @@ ROLES: dict[str, str] = {
                CASE l_partkey % 6 WHEN 0 THEN 'Urine' WHEN 1 THEN 'Foley cath' WHEN 2 THEN 'Oral' WHEN 3 THEN 'Urine irrigant' WHEN 4 THEN 'VOID' ELSE NULL END AS celllabel
         FROM o_line""",
     "o_respiratory": """
-        SELECT patientunitstayid, CASE WHEN l_partkey % 10 = 0 THEN 'later' ELSE CAST(off AS VARCHAR(10)) END AS respchartoffset
-        FROM o_line WHERE l_suppkey % 4 = 0""",
+        SELECT patientunitstayid, CASE WHEN l_partkey % 10 = 0 OR l_suppkey % 4 <> 0 THEN 'later' ELSE CAST(off AS VARCHAR(10)) END AS respchartoffset
+        FROM o_line""",
     "o_infusion": """
         SELECT patientunitstayid, CASE WHEN l_partkey % 10 = 0 THEN '' ELSE CAST(off AS VARCHAR(10)) END AS infusionoffset,
-               CASE l_suppkey % 6 WHEN 0 THEN 'Norepinephrine (mcg/min)' WHEN 1 THEN 'Levophed' WHEN 2 THEN 'EPINEPHrine (ml/hr)'
-                    WHEN 3 THEN 'Dopamine' WHEN 4 THEN 'Propofol' ELSE 'DOBUTamine' END AS drugname
-        FROM o_line WHERE l_linenumber <= 3""",
+               CASE WHEN l_linenumber > 3 THEN 'Propofol' ELSE
+                    CASE l_suppkey % 6 WHEN 0 THEN 'Norepinephrine (mcg/min)' WHEN 1 THEN 'Levophed' WHEN 2 THEN 'EPINEPHrine (ml/hr)'
+                    WHEN 3 THEN 'Dopamine' WHEN 4 THEN 'Propofol' ELSE 'DOBUTamine' END END AS drugname
+        FROM o_line""",
     "o_treatment": """
         SELECT patientunitstayid, off AS treatmentoffset,
-               CASE l_suppkey % 5 WHEN 0 THEN 'infectious diseases|Cultures|blood' WHEN 1 THEN 'medications|Antibacterials' WHEN 2 THEN 'antibiotic therapy'
-                    WHEN 3 THEN 'nutrition' ELSE NULL END AS treatmentstring
-        FROM o_line WHERE l_linenumber >= 3""",
+               CASE WHEN l_linenumber < 3 THEN 'nutrition' ELSE
+                    CASE l_suppkey % 5 WHEN 0 THEN 'infectious diseases|Cultures|blood' WHEN 1 THEN 'medications|Antibacterials' WHEN 2 THEN 'antibiotic therapy'
+                    WHEN 3 THEN 'nutrition' ELSE NULL END END AS treatmentstring
+        FROM o_line""",
+    # Cultures of the last line belong to a stay; all others name none, as records of other units do.
     "o_micro": """
-        SELECT patientunitstayid, off AS culturetakenoffset,
+        SELECT CASE WHEN l_linenumber = 7 THEN patientunitstayid END AS patientunitstayid, off AS culturetakenoffset,
                CASE l_suppkey % 9 WHEN 0 THEN 'No growth' WHEN 1 THEN 'Staphylococcus aureus' WHEN 2 THEN 'Escherichia coli' WHEN 3 THEN NULL
                     WHEN 4 THEN 'NEGATIVE' ELSE 'mixed flora' END AS organism,
                CASE WHEN l_partkey % 2 = 0 THEN 'Blood' ELSE 'Urine' END AS culturesite
-        FROM o_line WHERE l_linenumber = 7""",
+        FROM o_line""",
     # --- scored units: two labels, two models, two seeds --------------------------------
     "scored": """
         SELECT d.doc_id, d.source, d.lang, l.quality, l.toxic, d.n_chars,
