@@ -48,10 +48,6 @@ def within_hours(start: Col, t: Col, before: float, after: float) -> Column:
     return delta.between(F.lit(int(-before * 3_600_000_000)), F.lit(int(after * 3_600_000_000)))
 
 
-def hour_bin(hours: Col) -> Column:
-    return F.floor(as_col(hours)).cast("int")
-
-
 # --- text ----------------------------------------------------------------------
 def like_any(c: Col, patterns: Sequence[str], case: str = "lower") -> Column:
     """Case-folded LIKE against any of the patterns."""

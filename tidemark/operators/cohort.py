@@ -11,9 +11,9 @@ from tidemark import config
 from tidemark.functions.columns import (
     age_years,
     contains_any,
-    hours_between,
     join_groups,
     like_any,
+    normal_code,
     require_columns,
     starts_with_any,
     suppress,
@@ -330,8 +330,7 @@ def stays_with_code(
 ) -> DataFrame:
     """Stays whose admission carries one of the diagnosis codes; dots and case do not matter."""
     wanted = sorted({c.replace(".", "").upper() for c in codes})
-    code = F.replace(F.upper("icd_code"), F.lit("."), F.lit(""))
-    hits = diagnoses.where((F.col("icd_version") == version) & code.isin(wanted)).select("hadm_id").distinct()
+    hits = diagnoses.where((F.col("icd_version") == version) & normal_code("icd_code").isin(wanted)).select("hadm_id").distinct()
     return cohort.select("hadm_id", "stay_id").join(hits, "hadm_id", "left_semi").select("stay_id").distinct()
 
 

@@ -281,12 +281,6 @@ def summarise_onsets(
     })
 
 
-def common_any_early(cohort: DataFrame, onsets: Mapping[str, DataFrame], prediction_hour: float) -> DataFrame:
-    """Per epoch: stays left after dropping those with an early onset of any of the labels."""
-    prevalent = {n: prevalent_from_onsets(o, prediction_hour) for n, o in onsets.items()}
-    return common_cohort(cohort, prevalent)[1]
-
-
 def design_grid(
     cohort: DataFrame,
     sofa: DataFrame,

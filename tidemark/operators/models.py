@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config
-from tidemark.functions.columns import hash_fold, require_option
+from tidemark.functions.columns import hash_fold
 from tidemark.functions.ranked import auroc, sample_n
 from tidemark.operators.features import fit_preprocessor, scale_with
 from tidemark.operators.metrics import gap_scales
@@ -40,11 +40,6 @@ class Spec:
         return self.name or self.family
 
 
-def tuned(family: str) -> Spec:
-    require_option(family, FAMILIES, "model family")
-    return Spec(family, config.TUNED_LOGREG if family == "logreg" else config.TUNED_TREES)
-
-
 def _estimator(spec: Spec, n_rows: int, seed: int):
     p = spec.params
     if spec.family == "logreg":

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config
-from tidemark.functions.columns import hour_bin, inspired_fraction, require_columns, require_option, score_card
+from tidemark.functions.columns import inspired_fraction, require_columns, require_option, score_card
 from tidemark.operators.temporal import asof_backward, hourly_grid, ms, rolling_extreme, tick
 
 # Stage rules

@@ -51,11 +51,6 @@ def assert_folds_partition(df: DataFrame, n_folds: int, fold: str = "fold") -> N
 
 
 # --- site axis ------------------------------------------------------------------
-def site_folds(df: DataFrame, n_folds: int, seed: int, site: str = "site") -> DataFrame:
-    """Fold by site, so a site is never split: hash form, no look at the data."""
-    return df.withColumn("fold", hash_fold(site, n_folds, seed))
-
-
 def site_groups(df: DataFrame, n_groups: int, seed: int, site: str = "site") -> DataFrame:
     """Disjoint site groups of equal size: sites in hash order, dealt out in turn.
 
