@@ -8,11 +8,14 @@ Two documents agree in a coordinate with probability equal to the Jaccard likene
 Search: 32 bands of 4 coordinates.  A pair at likeness 0.75 shares no band with probability
 (1 - 0.75^4)^32 < 6e-6.  Every candidate link is confirmed on the full sets (64-bit hashes of all shingles).
 
-Scale: equal sets are one class before anything else.  In a band bucket every member is first confirmed
-against the bucket's smallest member only, so a bucket of m near copies costs m - 1 confirmations.  Members that are
-then still in different components are the only ones compared with each other, so no link between
-different sets is lost.  Components grow by label propagation with pointer jumping over written tables.  Links never
-leave the executors.
+Scale: equal sets are one class before anything else.  In a band bucket every member is first confirmed against the hub
+only, the member with the largest buckets over all bands, so a bucket of m near copies costs m - 1 confirmations.
+What is then still in different components is compared with each other only where a link is possible given what both
+share with the hub h.  A link of x and y needs |x & y| >= 3/7 (|x| + |y|), so either min(|x & h|, |y & h|) reaches that, or x and y
+share shingles outside h, at least .75 |x| - |x & h| of them; the latter meet on the first shingles outside h in hash order
+(prefix and position filter).  Both tests are exact: no link between different sets that share a bucket is lost, and no group is paired with
+itself.  Components grow by label propagation with pointer jumping over written tables.  Links never leave the
+executors.
 
 Defined cases: null, empty and blank texts have no shingles and stand alone; texts of one to four words have one
 shingle, the whole sequence; a repeated row is its own copy; null identifiers are left out of the result;
@@ -119,29 +122,34 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["doc_id", "n", "set_a", "set_b", "bands"])
 
 
-def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members linked to their hub; rows come ordered by (hub, part), the hub itself first."""
+def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members against their hub on full sets; rows come ordered by (hub, part), the hub itself first.
+
+    `prefix` holds the member's first shingles outside the hub, as many as can decide a link with a third set.
+    """
     current, hub_set = None, None
     for batch in batches:
-        a, b = [], []
+        found: list[tuple] = []
         for part in portions(batch, "text"):
             values, first = shingle_sets(part.column("text"))
             for i, (hub, member) in enumerate(zip(part.column("hub").to_pylist(), part.column("member").to_pylist(), strict=True)):
                 own = values[first[i]:first[i + 1]]
                 if member == hub:
                     current, hub_set = hub, own
-                elif hub == current and len(own) and len(hub_set):
+                elif hub == current:
                     at = np.searchsorted(hub_set, own)
                     at[at == len(hub_set)] = 0
-                    both = int((hub_set[at] == own).sum())
-                    if OUT_OF * both >= NUMBER * (len(own) + len(hub_set) - both):
-                        a.append(hub)
-                        b.append(member)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    inside = hub_set[at] == own
+                    both = int(inside.sum())
+                    least = max(1, -(-NUMBER * len(own) // OUT_OF) - both)
+                    found.append((hub, member, len(hub_set), len(own), both, own[~inside][:max(0, len(own) - both - least + 1)].view(np.int64)))
+        columns = list(zip(*found, strict=True)) if found else [[]] * 6
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.list_(pa.int64()))],
+                                         names=["hub", "member", "hub_n", "n", "both", "prefix"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of (hub, member) pairs those linked on full sets, as (a, b).
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(hub, member) pairs with the sizes of both sets and of what they share.
 
     A hub with many members is copied once per HUB_SPREAD of them, so no task gets all members of a hub.
     """
@@ -151,7 +159,48 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     hub = many.select("hub", F.col("hub").alias("member"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
     rows = member.unionByName(hub).join(texts.select(F.col("doc_id").alias("member"), "text"), "member")
     ordered = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("member") != F.col("hub"))
-    return ordered.select("hub", "member", "text").mapInArrow(_confirm, "a bigint, b bigint")
+    return ordered.select("hub", "member", "text").mapInArrow(
+        _compare, "hub bigint, member bigint, hub_n bigint, n bigint, both bigint, prefix array<bigint>")
+
+
+def linked(checked: DataFrame) -> DataFrame:
+    """(a, b) of the compared pairs that are links."""
+    alike = F.col("both") * OUT_OF >= (F.col("hub_n") + F.col("n") - F.col("both")) * NUMBER
+    return checked.where(alike).select(F.col("hub").alias("a"), F.col("member").alias("b"))
+
+
+def possible_pairs(checked: DataFrame, label: DataFrame) -> DataFrame:
+    """(hub, member) pairs, smaller first, of sets that met the same hub, lie in different components and may be linked."""
+    hubs = checked.groupBy("hub").agg(F.first("hub_n").alias("n"))
+    group = checked.select("hub", "member", "n", "both", "prefix").unionByName(
+        hubs.select("hub", F.col("hub").alias("member"), "n", F.col("n").alias("both"), F.array().cast("array<bigint>").alias("prefix")))
+    placed = group.join(label.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+    parts = placed.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = parts.groupBy("hub").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    open_rows = cut_lineage(placed.join(mixed.select("hub", "major"), "hub"))
+    minor = open_rows.where("component <> major").select(
+        "hub", F.col("member").alias("x"), F.col("n").alias("k"), F.col("both").alias("b"), F.col("component").alias("c"), F.col("prefix").alias("p"))
+    apart = (F.col("component") != F.col("c")) & ((F.col("component") == F.col("major")) | (F.col("member") < F.col("x")))
+    fits = (F.col("n") * OUT_OF >= F.col("k") * NUMBER) & (F.col("k") * OUT_OF >= F.col("n") * NUMBER)
+
+    # By the hub alone: the partner's size lies in a range, met by classes of sizes 5 % apart.
+    reach = NUMBER + OUT_OF
+    step = lambda n: F.floor(F.log(n) / F.log(F.lit(1.05)))
+    low = F.col("k") * NUMBER / OUT_OF
+    high = F.least(F.col("b") * reach / NUMBER - F.col("k"), F.col("k") * OUT_OF / NUMBER)
+    ranged = minor.where((F.col("b") > 0) & (high >= low)).withColumn("size", F.explode(F.sequence(step(low), step(high))))
+    enough = F.least("b", "both") * reach >= (F.col("k") + F.col("n")) * NUMBER
+    sized = open_rows.withColumn("size", step(F.col("n")))
+    inside = sized.join(ranged, ["hub", "size"]).where(apart & fits & enough)
+    # Outside the hub: a shared shingle of both prefixes.  If it is the first shared one, no more than what follows it in either set
+    # is shared besides; later ones have less after them, so testing every one keeps exactly the pairs whose first one passes.
+    here = open_rows.select("hub", "member", "n", "both", "component", "major", F.posexplode("prefix").alias("i", "s"))
+    there = minor.select("hub", "x", "k", "b", "c", F.posexplode("p").alias("j", "s"))
+    room = F.least("both", "b") + F.least(F.col("n") - F.col("both") - F.col("i"), F.col("k") - F.col("b") - F.col("j"))
+    outside = here.join(there, ["hub", "s"]).where(apart & fits & (room * reach >= (F.col("k") + F.col("n")) * NUMBER))
+    pair = (F.least("member", "x").alias("hub"), F.greatest("member", "x").alias("member"))
+    known = checked.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member"))
+    return inside.select(*pair).unionByName(outside.select(*pair)).distinct().join(known, ["hub", "member"], "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -175,33 +224,20 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     docs = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = cut_lineage(docs.mapInArrow(_sign, SIGNATURES))
     classes = cut_lineage(signed.where("n > 0").groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    rows = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
-    shared = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = cut_lineage(rows.join(shared.select("bucket", "hub"), "bucket"))
-
-    candidates = members.select("rep").distinct()
-    texts = cut_lineage(docs.join(candidates.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"))
-    direct = cut_lineage(members.where("rep <> hub").select("hub", F.col("rep").alias("member")).distinct())
-    links = cut_lineage(confirmed(direct, texts))
+        F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    rows = classes.select(F.explode("bands").alias("bucket"), "rep")
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = cut_lineage(rows.join(shared, "bucket"))
+    weight = members.groupBy("rep").agg(F.sum("m").alias("weight"))
+    hubs = members.join(weight, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
+    direct = cut_lineage(members.join(hubs, "bucket").where("rep <> hub").select("hub", F.col("rep").alias("member")).distinct())
+
+    candidates = weight.select(F.col("rep").alias("doc_id"))
+    texts = cut_lineage(docs.join(candidates, "doc_id", "left_semi"))
+    checked = cut_lineage(compared(direct, texts))
+    links = linked(checked)
     label = components(links)
-
-    # What is left: members of one bucket in different components.
-    placed = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
-    mixed = parts.groupBy("bucket").agg(F.max_by("component", "m").alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_rows = cut_lineage(placed.join(mixed.select("bucket", "major"), "bucket"))
-    minor = open_rows.where("component <> major").select(
-        "bucket", F.col("rep").alias("r"), F.col("n").alias("k"), F.col("component").alias("c"))
-    fits = (F.col("n") * OUT_OF >= F.col("k") * NUMBER) & (F.col("k") * OUT_OF >= F.col("n") * NUMBER)
-    once = (F.col("component") == F.col("major")) | (F.col("rep") < F.col("r"))
-    pairs = (
-        open_rows.join(minor, "bucket").where((F.col("component") != F.col("c")) & fits & once)
-        .select(F.least("rep", "r").alias("hub"), F.greatest("rep", "r").alias("member")).distinct()
-        .join(direct, ["hub", "member"], "left_anti")
-    )
-    more = cut_lineage(confirmed(cut_lineage(pairs), texts))
+    more = cut_lineage(linked(compared(cut_lineage(possible_pairs(checked, label)), texts)))
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
