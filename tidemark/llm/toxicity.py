@@ -36,6 +36,7 @@ CELLS = 1 << 20
 PREFIXES = (3, 4, 5, 6, 8, 0)  # 0: the whole word
 PRIOR = 8.0
 DRIFT = 1.2
+LEAST_RATE = 1e-4
 LEAST_SEGMENT = 1.0
 BROADCAST_LABELS = 5_000_000
 STEP = 0.25  # bin of a segment score
@@ -105,12 +106,13 @@ def word_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
     """Score of every word (repeats in a text: only the drift), where each text's words begin, and where they begin and end."""
     toxic, seen = _dense(model)
     code, begin, end, first = _words(texts)
-    rate = np.full(len(begin), model.base, np.float32)
+    rate = np.full(len(begin), model.base)
     whole = np.zeros(0, np.int64)
     for cell, long in _cells(code, begin, end):
         at = slice(None) if long is None else long
         rate[at] = (toxic[cell] + PRIOR * rate[at]) / (seen[cell] + PRIOR)
         whole = cell
+    rate = np.clip(rate, LEAST_RATE, 1 - LEAST_RATE)
     score = np.log(rate / (1 - rate)) - np.log(model.base / (1 - model.base)) - DRIFT
     up = np.flatnonzero(score > 0)
     owner = np.searchsorted(first, up, "right") - 1
