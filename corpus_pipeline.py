@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, exact, langid, minhash, mixing
+from tidemark.llm.shipping import ship
 from tidemark.session import apply_settings, cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,17 +19,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus itself teaches; others go."""
+    ship(spark)
     learned = langid.learn_profiles(docs.where(~langid.held_out(F.col("doc_id"), 4, 2)))
     return langid.known_language(docs.select(*COLUMNS), learned)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    ship(spark)
     return exact.drop_copies(docs).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
+    ship(spark)
     return minhash.drop_near_copies(docs).select(*COLUMNS)
 
 
@@ -41,6 +45,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and decoded texts as digests, one row per taken copy."""
+    ship(spark)
     return bpe.encoding_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -54,7 +59,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    apply_settings(spark)
+    ship(apply_settings(spark))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chat, exact, fingerprints, langid, minhash, mixing, pii, token_counts, toxicity
+from tidemark.llm.shipping import ship
 from tidemark.session import apply_settings
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -16,7 +17,7 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_settings(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(apply_settings(spark)).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
