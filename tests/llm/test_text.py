@@ -47,6 +47,17 @@ def test_token_counts_equal_the_library(docs, corpus):
             assert r["limit_chars"] == len(text)
 
 
+def test_a_full_memo_changes_nothing(monkeypatch):
+    monkeypatch.setattr(token_counts, "MEMO", 20)
+    own, library = token_counts.PrefixCounter(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    for part in range(3):
+        texts = [" ".join(f"{w}{i}{part}" for i in range(40)) for w in ("some", "new", "words")]
+        for text, matches in zip(texts, own.split_all(texts), strict=True):
+            ends, sums = own.table(matches)
+            assert sums[-1] == len(library.encode(text).ids)
+            assert len(library.encode(text[:own.longest_within(text, 30, ends, sums)]).ids) <= 30
+
+
 def test_every_prefix_is_counted_exactly():
     library, own = Tokenizer.from_file(BYTE_BPE), token_counts.PrefixCounter(BYTE_BPE)
     rng = random.Random(3)

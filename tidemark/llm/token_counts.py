@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrays import portions
 from tidemark.llm.bpe import SPACE, byte_alphabet
 
-MEMO = 800_000
+MEMO = 1_200_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
 REACH = 16  # characters before a cut that the pattern may split otherwise once the text ends there
@@ -117,9 +117,6 @@ class PrefixCounter:
 
     def learn(self, matches: Iterable[str]) -> None:
         """Count new matches in sorted order, so each goes on from the prefix it shares with the one before."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-            self.memo.update(dict.fromkeys(self.special, 1))
         before, count, last = b"", [0], [b""]
         for word, match in sorted((m.encode(), m) for m in set(matches).difference(self.memo)):
             same = 0
@@ -143,12 +140,20 @@ class PrefixCounter:
         self.learn(matches)
         return sum(map(self.memo.__getitem__, matches))
 
-    def tables(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """For each text: where each match ends, and the tokens up to there."""
+    def split_all(self, texts: list[str]) -> list[list[str]]:
+        """Matches of every text, all of them counted.  Only here is the memo emptied: what is returned stays in it."""
+        if len(self.memo) > MEMO:
+            self.memo = dict.fromkeys(self.special, 1)
         split = [self.matches(t) for t in texts]
         self.learn(chain.from_iterable(split))
-        for matches in split:
-            yield list(accumulate(map(len, matches))), list(accumulate(map(self.memo.__getitem__, matches)))
+        return split
+
+    def table(self, matches: list[str]) -> tuple[list[int], list[int]]:
+        """Where each match ends, and the tokens up to there."""
+        return list(accumulate(map(len, matches))), list(accumulate(map(self.memo.__getitem__, matches)))
+
+    def tables(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        return map(self.table, self.split_all(texts))
 
     def at_prefix(self, text: str, size: int, ends: list[int], sums: list[int]) -> int:
         """Tokens of text[:size], given where matches end and the tokens up to there.
@@ -187,10 +192,12 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, ident: str
             for part in portions(batch, batch.schema.names[1]):
                 size, total, fits = [], [], []
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                for value, (ends, sums) in zip(texts, counter.tables(texts), strict=True):
-                    size.append(len(value.encode()))
-                    total.append(sums[-1] if sums else 0)
-                    fits.append(counter.longest_within(value, limit, ends, sums))
+                for value, matches in zip(texts, counter.split_all(texts), strict=True):
+                    size.append(len(value) if value.isascii() else len(value.encode()))
+                    total.append(sum(map(counter.memo.__getitem__, matches)))
+                    # A match has a token at least, so the cut lies in the first `limit` matches.
+                    near = counter.table(matches[:limit + 1]) if total[-1] > limit else ([], [])
+                    fits.append(counter.longest_within(value, limit, *near))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(size, pa.int64()), pa.array(total, pa.int64()),
                     pa.array([t > limit for t in total], pa.bool_()), pa.array(fits, pa.int64()),
