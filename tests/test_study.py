@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test data not
 
 def test_every_check_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert {n for n in entry.queries() if n not in entry.oracle_sql()} == {"transfer_gap_logreg", "transfer_gap_gbt", "learning_curve", "tuning"}
+    assert {n for n in entry.QUERIES if n not in entry.oracle_sql()} == {"transfer_gap_logreg", "transfer_gap_gbt", "learning_curve", "tuning"}
 
 
 def test_flagship(spark):
