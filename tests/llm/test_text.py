@@ -214,6 +214,20 @@ def test_toxicity_held_out(spark, nothing):
     assert toxicity.score_documents(nothing, model).count() == 0
 
 
+def test_every_toxic_passage_is_judged_by_its_own_words(spark):
+    docs, labels = toxic_table(spark)
+    model = toxicity.learn(docs, labels)
+    calm = " ".join(f"word{k}" for k in range(60))
+    dense = "nasty vile ugly nastyness vileness"
+    texts = [f"{calm} {dense} {calm} {dense} {calm}",  # the same words again
+             f"nasty {calm} vile {calm} ugly {calm} nastyness {calm} vileness {calm} {dense} {calm}"]  # alone first
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], texts[r["doc_id"]][r["begin"]:r["end"]], r["begin"]) for r in toxicity.passages(df, model).collect()}
+    assert {(0, dense, len(calm) + 1), (0, dense, 2 * len(calm) + len(dense) + 3), (1, dense, texts[1].index(dense))} <= found
+    best = {r["doc_id"]: r["best_segment"] for r in toxicity.score_documents(df, model).collect()}
+    assert abs(best[0] - best[1]) < 1e-9
+
+
 def test_maximal_segments_against_brute_force():
     rng = random.Random(7)
 

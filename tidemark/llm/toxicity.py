@@ -5,7 +5,9 @@ negative.  The rate of a word has a Dirichlet prior: the rate of its longer pref
 so on down to the share of toxic documents, so unseen words take the rate of what they begin with.  One pass over a
 text finds all maximal segments (after Ruzzo and Tompa).  Segment scores are put on one scale by the
 extreme-value law of chance segments, lambda * S - ln(K * n), with lambda and K from the words of other documents;
-a logistic curve over the best segment, the sum of all segments above chance and the length turns them into a score.
+a logistic curve over the best segment, the sum of all segments above chance, the sum over distinct words and the length turns
+them into a score.  Every occurrence of a word scores, so each passage is judged by its own words; what repeats add to a
+document is weighed against the sum over distinct words.
 
 Scale: counts are document counts per hashed cell (CELLS of them, whatever the vocabulary), summed in each task before the
 shuffle; calibration works on a histogram of segment scores over all labelled documents.  Labels are broadcast up to
@@ -14,8 +16,7 @@ rows of the model.
 
 Defined cases: null and empty texts and texts without a letter have no segment and the score of such; null labels
 are not learned from, of several labels of a document the largest counts; without labelled documents, or with one
-class only, every score is the (smoothed) share of toxic ones; a word repeated in a text scores once; columns
-beside those named are not read.
+class only, every score is the (smoothed) share of toxic ones; columns beside those named are not read.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ class Model:
     seen: bytes
     scale: float = 1.0
     size: float = 0.1
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, 0.0)
 
 
 @cache
@@ -102,8 +103,8 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["cell", "toxic", "seen"])
 
 
-def word_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Score of every word (repeats in a text: only the drift), where each text's words begin, and where they begin and end."""
+def word_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Score of every word, where each text's words begin, where they begin and end, and whether a word is the first of its kind in its text."""
     toxic, seen = _dense(model)
     code, begin, end, first = _words(texts)
     rate = np.full(len(begin), model.base)
@@ -114,13 +115,10 @@ def word_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
         whole = cell
     rate = np.clip(rate, LEAST_RATE, 1 - LEAST_RATE)
     score = np.log(rate / (1 - rate)) - np.log(model.base / (1 - model.base)) - DRIFT
-    up = np.flatnonzero(score > 0)
-    owner = np.searchsorted(first, up, "right") - 1
-    _, once = np.unique(owner << 20 | whole[up], return_index=True)
-    again = np.ones(len(up), bool)
-    again[once] = False
-    score[up[again]] = -DRIFT
-    return score, first, np.stack([begin, end])
+    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    fresh = np.zeros(len(begin), bool)
+    fresh[np.unique(owner << 20 | whole, return_index=True)[1]] = True
+    return score, first, np.stack([begin, end]), fresh
 
 
 def maximal_segments(score: np.ndarray) -> list[tuple[float, int, int]]:
@@ -148,22 +146,24 @@ def maximal_segments(score: np.ndarray) -> list[tuple[float, int, int]]:
     return [(high - low, a, b) for low, high, a, b in stack]
 
 
-def _evidence(model: Model, texts: list[str]) -> Iterator[tuple[float, float, int, np.ndarray]]:
-    """Best segment, sum of the segments of at least LEAST_SEGMENT, number of words, scores; for each text."""
-    score, first, _ = word_scores(model, texts)
+def _evidence(model: Model, texts: list[str]) -> Iterator[tuple[float, float, float, int, np.ndarray]]:
+    """Best segment, sum of the segments of at least LEAST_SEGMENT, sum over distinct words, number of words, scores; for each text."""
+    score, first, _, fresh = word_scores(model, texts)
+    distinct = np.where(fresh & (score > 0), score, 0.0)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         found = [s for s, _, _ in maximal_segments(score[a:b])]
-        yield max(found, default=0.0), sum(s for s in found if s >= LEAST_SEGMENT), b - a, score[a:b]
+        yield max(found, default=0.0), sum(s for s in found if s >= LEAST_SEGMENT), float(distinct[a:b].sum()), b - a, score[a:b]
 
 
-def _bins(best: float, total: float, n: int) -> tuple[int, int, int]:
-    return round(best / STEP), round(np.log1p(total) / STEP), min(LENGTHS, int(n).bit_length())
+def _bins(best: float, total: float, distinct: float, n: int) -> tuple[int, int, int, int]:
+    return round(best / STEP), round(np.log1p(total) / STEP), round(np.log1p(distinct) / STEP), min(LENGTHS, int(n).bit_length())
 
 
-def _features(scale: float, size: float, best: np.ndarray, total: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Constant, best segment above chance, log of all evidence, log length."""
+def _features(scale: float, size: float, bins: np.ndarray) -> np.ndarray:
+    """Constant, best segment above chance, log of all evidence, log of that of distinct words, log length; `bins` has a row for each of _bins."""
+    best, total, distinct, n = bins[0] * STEP, bins[1] * STEP, bins[2] * STEP, 2.0 ** (bins[3] - 0.5)
     length = np.log(np.maximum(n, 1))
-    return np.stack([np.ones(len(best)), scale * best - np.log(size) - length, np.log1p(total), length], axis=1)
+    return np.stack([np.ones(len(best)), scale * best - np.log(size) - length, total, distinct, length], axis=1)
 
 
 def _chance(values: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
@@ -219,28 +219,29 @@ def learn(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
     model = Model(base, *rates)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int, int, int, int], int] = {}
+        found: dict[tuple[int, ...], int] = {}
         for batch in batches:
             for part in portions(batch, "text"):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                for y, (best, total, n, score) in zip(part.column(0).to_pylist(), _evidence(model, texts), strict=True):
-                    key = (0, y, *_bins(best, total, n))
+                for y, (*told, score) in zip(part.column(0).to_pylist(), _evidence(model, texts), strict=True):
+                    key = (0, y, *_bins(*told))
                     found[key] = found.get(key, 0) + 1
                     if not y:
                         for s, c in zip(*np.unique(np.round(score / STEP).astype(int), return_counts=True), strict=True):
-                            key = (1, 0, int(s), 0, 0)
+                            key = (1, 0, int(s), 0, 0, 0)
                             found[key] = found.get(key, 0) + int(c)
         keys = list(found)
-        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int32()) for i in range(5)), pa.array([found[k] for k in keys], pa.int64())],
-                                         names=["words", "y", "best", "total", "size", "n"])
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int32()) for i in range(6)), pa.array([found[k] for k in keys], pa.int64())],
+                                         names=[*keyed, "n"])
 
-    cells = taught.mapInArrow(measure, "words int, y int, best int, total int, size int, n bigint").groupBy("words", "y", "best", "total", "size").agg(F.sum("n").alias("n"))
-    table = cells.toPandas().sort_values(["words", "y", "best", "total", "size"])
+    keyed = ["words", "y", "best", "total", "distinct", "size"]
+    cells = taught.mapInArrow(measure, ", ".join(f"{k} int" for k in keyed) + ", n bigint").groupBy(*keyed).agg(F.sum("n").alias("n"))
+    table = cells.toPandas().sort_values(keyed)
     words, seen = table[table["words"] == 1], table[table["words"] == 0]
     if not len(seen):
-        return Model(base, *rates, weights=(float(np.log(base / (1 - base))), 0.0, 0.0, 0.0))
+        return Model(base, *rates, weights=(float(np.log(base / (1 - base))), 0.0, 0.0, 0.0, 0.0))
     scale, size = _chance(words["best"].to_numpy() * STEP, words["n"].to_numpy().astype(float)) if len(words) else (1.0, 0.1)
-    x = _features(scale, size, seen["best"].to_numpy() * STEP, np.expm1(seen["total"].to_numpy() * STEP), 2.0 ** (seen["size"].to_numpy() - 0.5))
+    x = _features(scale, size, seen[keyed[2:]].to_numpy().T)
     n = seen["n"].to_numpy().astype(float)
     return Model(base, *rates, scale, size, _logistic(x, n * (seen["y"].to_numpy() == 1), n))
 
@@ -250,11 +251,10 @@ def score_documents(docs: DataFrame, model: Model, ident: str = "doc_id", text:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, batch.schema.names[1]):
-                found = [_bins(*e[:3]) + (e[0],) for e in _evidence(model, [t or "" for t in part.column(1).to_pylist()])]
-                b, t, n = (np.array([f[i] for f in found], float) for i in range(3))
-                x = _features(model.scale, model.size, b * STEP, np.expm1(t * STEP), 2.0 ** (n - 0.5))
+                told = list(_evidence(model, [t or "" for t in part.column(1).to_pylist()]))
+                x = _features(model.scale, model.size, np.array([_bins(*e[:4]) for e in told], float).T)
                 p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([f[3] for f in found], pa.float64())],
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([e[0] for e in told], pa.float64())],
                                                  names=["doc_id", "score", "predicted", "best_segment"])
 
     return docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text)).mapInArrow(
@@ -267,7 +267,7 @@ def passages(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "
         for batch in batches:
             for part in portions(batch, batch.schema.names[1]):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                score, first, span = word_scores(model, texts)
+                score, first, span, _ = word_scores(model, texts)
                 start = np.cumsum([0, *(len(t.lower()) for t in texts)])
                 out = [(i, span[0, a + f] - start[k], span[1, a + e - 1] - start[k], s)
                        for k, (i, a, b) in enumerate(zip(part.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True))
