@@ -228,6 +228,21 @@ def test_every_toxic_passage_is_judged_by_its_own_words(spark):
     assert abs(best[0] - best[1]) < 1e-9
 
 
+def test_toxicity_words_do_not_share_counts(spark):
+    # Two million words of clean documents fill any table of 2^20 cells: their counts stay apart from those of the toxic word.
+    letters = str.maketrans("0123456789", "abcdefghij")
+    rows = [(i, " ".join(f"{k:07d}" for k in range(i * 20_000, (i + 1) * 20_000)).translate(letters)) for i in range(100)]
+    rows += [(200 + i, "zugwort") for i in range(6)]
+    labels = spark.createDataFrame([(i, int(i >= 200)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    base = 6.5 / 107
+    rate = base
+    for _ in range(5):  # zug, zugw, zugwo, zugwor, zugwort
+        rate = (6 + toxicity.PRIOR * rate) / (6 + toxicity.PRIOR)
+    got = toxicity.word_scores(model, ["zugwort"])[0]
+    assert abs(got[0] - (np.log(rate / (1 - rate)) - np.log(base / (1 - base)) - toxicity.DRIFT)) < 1e-5
+
+
 def test_maximal_segments_against_brute_force():
     rng = random.Random(7)
 

@@ -9,10 +9,11 @@ a logistic curve over the best segment, the sum of all segments above chance, th
 them into a score.  Every occurrence of a word scores, so each passage is judged by its own words; what repeats add to a
 document is weighed against the sum over distinct words.
 
-Scale: counts are document counts per hashed cell (CELLS of them, whatever the vocabulary), summed in each task before the
-shuffle; calibration works on a histogram of segment scores over all labelled documents.  Labels are broadcast up to
-BROADCAST_LABELS rows, joined by a shuffle beyond.  Scoring is a map.  The driver and the tasks hold at most CELLS
-rows of the model.
+Scale: counts are document counts per word and prefix, each under its own 64-bit hash (two of ten million share one with
+probability below 1e-5), combined before the shuffle.  Rates are worked out prefix by prefix in joins.  The model
+holds the words and prefixes with more than one toxic document, sorted; it grows with the vocabulary.  Calibration works on a histogram
+of segment scores over all labelled documents.  Labels are broadcast up to BROADCAST_LABELS rows, joined by a shuffle beyond.
+Scoring is a map.
 
 Defined cases: null and empty texts and texts without a letter have no segment and the score of such; null labels
 are not learned from, of several labels of a document the largest counts; without labelled documents, or with one
@@ -23,17 +24,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import hash_spans, portions, spans_of
+from tidemark.llm.arrays import hash_spans, mix, portions, spans_of
 from tidemark.llm.langid import _letters
+from tidemark.session import cut_lineage
 
-CELLS = 1 << 20
 PREFIXES = (3, 4, 5, 6, 8, 0)  # 0: the whole word
 PRIOR = 8.0
 DRIFT = 1.2
@@ -46,25 +46,16 @@ LENGTHS = 24  # bins of log2(words)
 
 @dataclass(frozen=True)
 class Model:
-    """Rates of hashed cells, the chance law, and the weights of the logistic curve."""
+    """Log-odds of words and prefixes (keys ascending), the chance law, and the weights of the logistic curve."""
 
     base: float
-    cell: bytes
-    toxic: bytes
-    seen: bytes
+    key: bytes
+    odds: bytes
     scale: float = 1.0
     size: float = 0.1
     weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, 0.0)
 
 
-@cache
-def _dense(model: Model) -> tuple[np.ndarray, np.ndarray]:
-    toxic, seen = np.zeros(CELLS, np.float32), np.zeros(CELLS, np.float32)
-    cell = np.frombuffer(model.cell, np.int32)
-    toxic[cell], seen[cell] = np.frombuffer(model.toxic, np.float32), np.frombuffer(model.seen, np.float32)
-    return toxic, seen
-
-
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Code points, begin and end of every lower-cased word, and where each text's words begin."""
     lowered = [t.lower() for t in texts]
@@ -74,50 +65,77 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return code, begin, end, np.searchsorted(begin, bounds)
 
 
-def _cells(code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """Cell of every word at each prefix length, with the words that are long enough (None: all)."""
+def _keys(code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Key of every word at each prefix length, with the words that are long enough."""
     for level, size in enumerate(PREFIXES):
-        long = None if size == 0 else np.flatnonzero(end - begin > size)
-        b = begin if long is None else begin[long]
-        e = end if long is None else b + size
-        yield ((hash_spans(code, b, e) ^ np.uint64(level * 0x51ED270B)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64), long
+        long = np.flatnonzero(end - begin > size)
+        stop = begin[long] + size if size else end
+        yield mix(hash_spans(code, begin[long], stop) ^ np.uint64((level + 1) * 0x1ED270B9E3779B1)).view(np.int64), long
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents per cell: toxic ones and all."""
-    toxic, seen = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
+    """Documents per word and prefix of a portion: toxic ones and all, with the level and the key of the next shorter prefix."""
     for batch in batches:
         for part in portions(batch, batch.schema.names[1]):
             label = np.asarray(part.column(0), np.int64)
             code, begin, end, first = _words([t or "" for t in part.column(1).to_pylist()])
-            owner = np.repeat(np.arange(len(label)), np.diff(first))
-            keys = np.concatenate([(owner if long is None else owner[long]) << 20 | cell for cell, long in _cells(code, begin, end)])
-            keys = np.unique(keys)
-            cell = keys & (CELLS - 1)
-            seen += np.bincount(cell, minlength=CELLS)
-            toxic += np.bincount(cell[label[keys >> 20] == 1], minlength=CELLS)
-    at = np.flatnonzero(seen)
-    for a in range(0, len(at), 1 << 16):
-        some = at[a:a + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(toxic[some]), pa.array(seen[some])],
-                                         names=["cell", "toxic", "seen"])
+            _, some, kind = np.unique(hash_spans(code, begin, end), return_index=True, return_inverse=True)
+            pairs = np.unique(np.repeat(np.arange(len(label)), np.diff(first)) << 32 | kind)
+            owner, word = pairs >> 32, pairs & 0xFFFFFFFF
+            before, has = np.zeros(len(some), np.int64), np.zeros(len(some), bool)
+            for level, (key, long) in enumerate(_keys(code, begin[some], end[some])):
+                if not len(key):
+                    continue
+                own, at, back = np.unique(key, return_index=True, return_inverse=True)
+                place = np.full(len(some), -1)
+                place[long] = back
+                held = place[word] >= 0
+                pair = np.unique(owner[held] << 32 | place[word[held]])
+                which, bad = pair & 0xFFFFFFFF, label[pair >> 32] == 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(own), level, np.int32)), pa.array(own), pa.array(before[long[at]], mask=~has[long[at]]),
+                     pa.array(np.bincount(which[bad], minlength=len(own))), pa.array(np.bincount(which, minlength=len(own)))],
+                    names=["level", "key", "parent", "toxic", "seen"])
+                before[long], has[long] = key, True
+
+
+def _odds(counted: DataFrame, base: float) -> DataFrame:
+    """key, toxic, seen, odds and held of every word and prefix: its exact log-odds, and what the model says of it.
+
+    A word has its longest prefix as parent, a prefix the next shorter one; the first have the share of toxic documents.
+    """
+    start = float(np.log(base / (1 - base)))
+    done = None
+    for level in range(len(PREFIXES)):
+        rows = counted.where(F.col("level") == level)
+        if done is None:
+            rows = rows.withColumn("_rate", F.lit(base)).withColumn("_held", F.lit(start))
+        else:
+            rows = rows.join(done.select(F.col("key").alias("parent"), F.col("rate").alias("_rate"), F.col("held").alias("_held")), "parent", "left")
+            rows = rows.withColumn("_rate", F.coalesce("_rate", F.lit(base))).withColumn("_held", F.coalesce("_held", F.lit(start)))
+        rate = (F.col("toxic") + F.lit(PRIOR) * F.col("_rate")) / (F.col("seen") + F.lit(PRIOR))
+        safe = F.least(F.greatest(F.col("rate"), F.lit(LEAST_RATE)), F.lit(1 - LEAST_RATE))
+        rows = rows.withColumn("rate", rate).withColumn("odds", F.log(safe / (1 - safe))).withColumn("kept", F.col("toxic") > 1)
+        rows = cut_lineage(rows.select("key", "rate", "odds", "kept", F.when(F.col("kept"), F.col("odds")).otherwise(F.col("_held")).alias("held")))
+        done = rows if done is None else done.unionByName(rows)
+    return done
 
 
 def word_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Score of every word, where each text's words begin, where they begin and end, and whether a word is the first of its kind in its text."""
-    toxic, seen = _dense(model)
+    known, odds = np.frombuffer(model.key, np.int64), np.frombuffer(model.odds, np.float32)
     code, begin, end, first = _words(texts)
-    rate = np.full(len(begin), model.base)
-    whole = np.zeros(0, np.int64)
-    for cell, long in _cells(code, begin, end):
-        at = slice(None) if long is None else long
-        rate[at] = (toxic[cell] + PRIOR * rate[at]) / (seen[cell] + PRIOR)
-        whole = cell
-    rate = np.clip(rate, LEAST_RATE, 1 - LEAST_RATE)
-    score = np.log(rate / (1 - rate)) - np.log(model.base / (1 - model.base)) - DRIFT
+    _, some, kind = np.unique(hash_spans(code, begin, end), return_index=True, return_inverse=True)
+    start = float(np.log(model.base / (1 - model.base)))
+    found = np.full(len(some), start)
+    for key, long in _keys(code, begin[some], end[some]) if len(known) else ():
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        same = known[at] == key
+        found[long[same]] = odds[at[same]]
+    score = (found - start - DRIFT)[kind]
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
     fresh = np.zeros(len(begin), bool)
-    fresh[np.unique(owner << 20 | whole, return_index=True)[1]] = True
+    fresh[np.unique(owner << 32 | kind, return_index=True)[1]] = True
     return score, first, np.stack([begin, end]), fresh
 
 
@@ -212,10 +230,11 @@ def learn(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
     taught = docs.join(known, F.col(ident) == F.col("_labelled")).select(F.col("_y").cast("bigint").alias("y"), F.col(text).alias("text"))
     share = labels.agg(F.sum((F.col(label) == 1).cast("int")).alias("a"), F.count(label).alias("n")).first()
     base = ((share["a"] or 0) + 0.5) / (share["n"] + 1.0)
-    # A cell that no two toxic documents share says nothing: its words keep the rate of their prefix.
-    counted = taught.mapInArrow(_count, "cell int, toxic bigint, seen bigint").groupBy("cell").agg(
-        F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen")).where("toxic > 1").toArrow().sort_by("cell")
-    rates = [np.asarray(counted.column(c).combine_chunks()).astype(kind).tobytes() for c, kind in (("cell", np.int32), ("toxic", np.float32), ("seen", np.float32))]
+    # A word that no two toxic documents share says nothing: it keeps the rate of its prefix.
+    counted = cut_lineage(taught.mapInArrow(_count, "level int, key bigint, parent bigint, toxic bigint, seen bigint").groupBy("level", "key").agg(
+        F.first("parent").alias("parent"), F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen")))
+    told = _odds(counted, base).where("kept").select("key", F.col("odds").cast("float")).toArrow().sort_by("key")
+    rates = [np.asarray(told.column(c).combine_chunks()).tobytes() for c in ("key", "odds")]
     model = Model(base, *rates)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
