@@ -243,6 +243,26 @@ def test_toxicity_words_do_not_share_counts(spark):
     assert abs(got[0] - (np.log(rate / (1 - rate)) - np.log(base / (1 - base)) - toxicity.DRIFT)) < 1e-5
 
 
+def test_toxicity_keeps_what_it_learned_of_clean_words(spark):
+    rows = [(i, "giftig böse") for i in range(30)] + [(100 + i, "giftpflanze garten") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int"))
+    base = 30.5 / 331
+
+    def exact(word):
+        rate = base
+        for size in [*(n for n in (3, 4, 5, 6, 8) if len(word) > n), 99]:
+            alike = [i for i, t in rows for w in t.split() if w[:size] == word[:size] and (size == 99 or len(w) > size)]
+            rate = (sum(i < 100 for i in alike) + toxicity.PRIOR * rate) / (len(alike) + toxicity.PRIOR)
+        rate = min(max(rate, toxicity.LEAST_RATE), 1 - toxicity.LEAST_RATE)
+        return np.log(rate / (1 - rate)) - np.log(base / (1 - base)) - toxicity.DRIFT
+
+    words = ["giftpflanze", "garten", "giftig", "böse"]
+    got = toxicity.word_scores(model, [" ".join(words)])[0]
+    assert got[0] < -toxicity.DRIFT - 2 and got[2] > 1
+    assert np.abs(got - [exact(w) for w in words]).max() < toxicity.TOLERANCE + 1e-5
+
+
 def test_maximal_segments_against_brute_force():
     rng = random.Random(7)
 

@@ -11,8 +11,9 @@ document is weighed against the sum over distinct words.
 
 Scale: counts are document counts per word and prefix, each under its own 64-bit hash (two of ten million share one with
 probability below 1e-5), combined before the shuffle.  Rates are worked out prefix by prefix in joins.  The model
-holds the words and prefixes with more than one toxic document, sorted; it grows with the vocabulary.  Calibration works on a histogram
-of segment scores over all labelled documents.  Labels are broadcast up to BROADCAST_LABELS rows, joined by a shuffle beyond.
+holds the words and prefixes whose log-odds are more than TOLERANCE from what it says of the next shorter prefix, sorted: every
+score is within TOLERANCE of the exact one at any size.  It grows with the vocabulary.  Calibration works on a histogram of segment
+scores over all labelled documents.  Labels are broadcast up to BROADCAST_LABELS rows, joined by a shuffle beyond.
 Scoring is a map.
 
 Defined cases: null and empty texts and texts without a letter have no segment and the score of such; null labels
@@ -40,6 +41,7 @@ DRIFT = 1.2
 LEAST_RATE = 1e-4
 LEAST_SEGMENT = 1.0
 BROADCAST_LABELS = 5_000_000
+TOLERANCE = 0.05  # of log-odds
 STEP = 0.25  # bin of a segment score
 LENGTHS = 24  # bins of log2(words)
 
@@ -100,7 +102,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _odds(counted: DataFrame, base: float) -> DataFrame:
-    """key, toxic, seen, odds and held of every word and prefix: its exact log-odds, and what the model says of it.
+    """key, rate, odds, kept and held of every word and prefix: its exact log-odds, whether the model needs them, and what it says then.
 
     A word has its longest prefix as parent, a prefix the next shorter one; the first have the share of toxic documents.
     """
@@ -115,7 +117,7 @@ def _odds(counted: DataFrame, base: float) -> DataFrame:
             rows = rows.withColumn("_rate", F.coalesce("_rate", F.lit(base))).withColumn("_held", F.coalesce("_held", F.lit(start)))
         rate = (F.col("toxic") + F.lit(PRIOR) * F.col("_rate")) / (F.col("seen") + F.lit(PRIOR))
         safe = F.least(F.greatest(F.col("rate"), F.lit(LEAST_RATE)), F.lit(1 - LEAST_RATE))
-        rows = rows.withColumn("rate", rate).withColumn("odds", F.log(safe / (1 - safe))).withColumn("kept", F.col("toxic") > 1)
+        rows = rows.withColumn("rate", rate).withColumn("odds", F.log(safe / (1 - safe))).withColumn("kept", F.abs(F.col("odds") - F.col("_held")) > TOLERANCE)
         rows = cut_lineage(rows.select("key", "rate", "odds", "kept", F.when(F.col("kept"), F.col("odds")).otherwise(F.col("_held")).alias("held")))
         done = rows if done is None else done.unionByName(rows)
     return done
@@ -230,7 +232,6 @@ def learn(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
     taught = docs.join(known, F.col(ident) == F.col("_labelled")).select(F.col("_y").cast("bigint").alias("y"), F.col(text).alias("text"))
     share = labels.agg(F.sum((F.col(label) == 1).cast("int")).alias("a"), F.count(label).alias("n")).first()
     base = ((share["a"] or 0) + 0.5) / (share["n"] + 1.0)
-    # A word that no two toxic documents share says nothing: it keeps the rate of its prefix.
     counted = cut_lineage(taught.mapInArrow(_count, "level int, key bigint, parent bigint, toxic bigint, seen bigint").groupBy("level", "key").agg(
         F.first("parent").alias("parent"), F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen")))
     told = _odds(counted, base).where("kept").select("key", F.col("odds").cast("float")).toArrow().sort_by("key")
