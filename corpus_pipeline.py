@@ -2,6 +2,9 @@
 
 A stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame, which is written
 as Parquet and read again as the next stage's input.  All but the last return the columns of documents.
+
+Rows are told apart by a key of their own, so repeated rows, rows that share an identifier and rows without one are each
+a document: copies among them go, and the mix takes each at most twice.
 """
 
 from __future__ import annotations
@@ -24,22 +27,35 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return langid.known_language(docs.select(*COLUMNS), learned)
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """The columns of documents and `_key`: the identifier if every row has its own, else numbers in the order of identifiers, nulls last."""
+    docs = docs.select(*COLUMNS)
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn("_key", F.col("doc_id"))
+    # Ranges of (identifier, content, place) split any group; written, so that a row has one number however often it is read.
+    order = [F.col("doc_id").asc_nulls_last(), F.col("_content"), F.col("_place")]
+    dealt = docs.withColumn("_content", F.xxhash64(*COLUMNS)).withColumn("_place", F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut_lineage(dealt.select(*COLUMNS, F.monotonically_increasing_id().alias("_key")))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     ship(spark)
-    return exact.drop_copies(docs).select(*COLUMNS)
+    return exact.drop_copies(with_key(docs), "_key").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
     ship(spark)
-    return minhash.drop_near_copies(docs).select(*COLUMNS)
+    return minhash.drop_near_copies(with_key(docs), "_key").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document as often as it is taken, at most twice."""
-    copies = mixing.mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    docs = with_key(docs)
+    copies = mixing.mix_sources(docs, "_key").where("copies > 0").select(F.col("doc_id").alias("_taken"), "copies")
+    taken = docs.join(copies, F.col("_key") == F.col("_taken"))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(*COLUMNS)
 
 

@@ -105,6 +105,29 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
     assert got == want
 
 
+def test_repeated_rows_and_null_identifiers(spark, tmp_path):
+    rows = table()
+    plain = [r for r in rows if r[0] < 40]
+    near = [(None, f"{r[1]} changed", *r[2:]) for r in plain if len(r[1].split()) > 40][:5]
+    # Rows as they stand, three times; without identifier, twice; one identifier for many texts; near copies without one.
+    more = plain[:10] * 3 + [(None, *r[1:]) for r in plain[5:20]] * 2 + [(7, *r[1:]) for r in rows if 40 <= r[0] < 60] + [(None, *r[1:]) for r in rows if 60 <= r[0] < 80] + near
+    df = spark.createDataFrame([(*r, None) for r in plain + more], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    texts = {"".join(r[1].split()) for r in rows if r[0] < 80}
+    once = corpus_pipeline.exact_copies(spark, df, "")
+    kept = [(r["doc_id"], "".join(r["text"].split())) for r in once.collect()]
+    assert Counter(t for _, t in kept) == Counter(texts | {"".join(r[1].split()) for r in near})
+    assert {(r[0], "".join(r[1].split())) for r in plain} <= set(kept)
+    far = ["".join(r["text"].split()) for r in corpus_pipeline.near_copies(spark, once, "").collect()]
+    assert Counter(far) == Counter(texts)
+    size = Counter()
+    for r in corpus_pipeline.source_mix(spark, once, "").collect():
+        size[r["text"]] += 1
+    assert max(size.values()) <= 2 and len(size) > len(texts) // 2
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(r["ids_sha256"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got and max(got.values()) <= 2 and len(got) <= len(texts)
+
+
 def test_stages_keep_the_columns_of_documents(spark, nothing, docs):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     for df in (docs, nothing):
