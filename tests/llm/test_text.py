@@ -180,6 +180,23 @@ def test_pii_query_adds_other_writings(spark, nothing):
     assert "@" not in pii.redact(df.where("doc_id = 0 or text like '%@%'"), model).where("text like '%@mail%'").select("text").collect().__repr__()
 
 
+def test_pii_numbers_side_by_side(spark):
+    for text, kind, wanted in (("call 555-123-4567 555-765-4321 now", "phone", ["555-123-4567", "555-765-4321"]),
+                               ("4111.1111.1111.1111 03/27", "card", ["4111.1111.1111.1111"]), ("4111 1111 1111 1111 12/27", "card", ["4111 1111 1111 1111"]),
+                               ("7 (555) 123-4567", "phone", ["(555) 123-4567"])):
+        assert set(wanted) <= {text[a:b] for k, a, b in pii.candidates(text) if k == kind}
+    assert len(pii.candidates("1 2 " * 5000)) <= 20 * 10_000
+    rng = random.Random(4)
+    rows = [(i, f"some words {rng.choice(['', 'and then '])}+1 {rng.randrange(200, 999)} {rng.randrange(100, 999)} {rng.randrange(1000, 9999)} or 4111 1111 1111 1111 stand here") for i in range(300)]
+    model = pii.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    for text, wanted in (("some words 4111.1111.1111.1111 03/27 stand here", "4111.1111.1111.1111"),
+                         ("some words 555-123-4567 555-765-4321 stand here", "555-123-4567")):
+        assert wanted in [text[a:b] for _, a, b in model.added(text, pii.base_spans(text))]
+    # A kind with few held-out positives takes the threshold of all kinds.
+    cut = pii._cuts(np.array([0] * 40 + [1] * 3), np.array([2.0] * 40 + [3.0] * 3), np.ones(43))
+    assert cut[0] == cut[1] == 2.0
+
+
 def toxic_table(spark):
     rng = random.Random(6)
     calm = [f"word{k}" for k in range(300)]
