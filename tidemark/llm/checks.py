@@ -98,9 +98,54 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+#: Table of the CRC-32 (reversed polynomial EDB88320), entry 1 for byte 0.
+CRC_TABLE = """(SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS entry)"""
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the CRC-32 of a text's UTF-8 bytes; `entry` is a column with CRC_TABLE."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce({octets}, lambda c, b: xor(c >> 8, entry[(xor(c, b) & 255) + 1]), 4294967295))"
+
+
+TRIE = f"""
+WITH t AS (
+    SELECT conv_id, text, id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) - 1 AS k
+    FROM (SELECT conv_id, turn, coalesce(text, '') AS text, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+          FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+    SELECT conv_id, {crc32_sql('CAST(conv_id AS VARCHAR)')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t), {CRC_TABLE}
+), r AS (
+    SELECT c.conv_id, k, id, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 WHERE k < h
+    UNION ALL SELECT c.conv_id, k, id, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE k >= h
+), p AS (
+    SELECT conv_id, row_number() OVER o AS depth, octet_length(encode(text)) AS bytes, string_agg(id, '') OVER o AS path
+    FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING)
+    UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), n AS (
+    SELECT path, depth, max(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs FROM p GROUP BY path, depth
+), e AS (
+    SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+    FROM (SELECT conv_id, max_by(path, depth) AS path FROM p GROUP BY conv_id) GROUP BY path
+), a AS (
+    SELECT n.path AS below, n.depth AS d, n.n_convs, n.bytes, p.path AS above, p.depth FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth
+), k AS (
+    SELECT above, count(*) AS n_children FROM a WHERE depth = d - 1 GROUP BY above
+), s AS (
+    SELECT above, sum((n_convs - 1) * bytes) AS saved_tokens, count(*) FILTER (WHERE below NOT IN (SELECT above FROM k)) AS n_leaves FROM a GROUP BY above
+), u AS (
+    SELECT a.below, n.conv_id AS parent_conv_id FROM a JOIN n ON n.path = a.above WHERE a.depth = a.d - 1
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM n JOIN s ON s.above = n.path LEFT JOIN k ON k.above = n.path LEFT JOIN u ON u.below = n.path LEFT JOIN e ON e.path = n.path
+"""
+
 CHECKS = {
     "op4_minhash_near_dedup": NEAR,
     "op7_source_mix": MIX,
     "op9_chat_format": CHAT,
     "op10_exact_dedup": EXACT,
+    "op11_prefix_trie": TRIE,
 }
