@@ -142,10 +142,48 @@ SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, parent_conv_id, n_convs, coa
 FROM n JOIN s ON s.above = n.path LEFT JOIN k ON k.above = n.path LEFT JOIN u ON u.below = n.path LEFT JOIN e ON e.path = n.path
 """
 
+def words_sql(text: str) -> str:
+    lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+RESAMPLE = f"""
+WITH d AS (
+    SELECT doc_id, {words_sql('text')} AS words FROM documents
+), f AS (
+    SELECT doc_id, unnest(words) AS word FROM d
+), g AS (
+    SELECT unnest({words_sql('text')}) AS word FROM benchmark
+), v AS (
+    SELECT word, {crc32_sql('word')} % 10000 AS bucket FROM (SELECT word FROM f UNION SELECT word FROM g), {CRC_TABLE}
+), s AS (
+    SELECT bucket, count(*) AS s FROM f JOIN v USING (word) GROUP BY bucket
+), t AS (
+    SELECT bucket, count(*) AS t FROM g JOIN v USING (word) GROUP BY bucket
+), n AS (
+    SELECT (SELECT count(*) FROM f) AS all_s, (SELECT count(*) FROM g) AS all_t
+), e AS (
+    SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1e0) * (all_s + 10000) / ((coalesce(s, 0) + 1e0) * (all_t + 10000)))) AS BIGINT) AS gain
+    FROM s FULL JOIN t USING (bucket), n
+), w AS (
+    SELECT doc_id, sum(gain) AS weight FROM f JOIN v USING (word) JOIN e USING (bucket) GROUP BY doc_id
+), x AS (
+    SELECT d.doc_id, len(words) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+           CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) AS h
+    FROM d LEFT JOIN w USING (doc_id)
+), y AS (
+    SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM x
+), z AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM y WHERE n_features >= 20
+)
+SELECT y.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, rank FROM y LEFT JOIN z ON z.doc_id = y.doc_id AND rank <= 10 * n // 100
+"""
+
 CHECKS = {
     "op4_minhash_near_dedup": NEAR,
     "op7_source_mix": MIX,
     "op9_chat_format": CHAT,
     "op10_exact_dedup": EXACT,
     "op11_prefix_trie": TRIE,
+    "op12_importance_resampling": RESAMPLE,
 }

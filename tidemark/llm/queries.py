@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact, fingerprints, langid, minhash, mixing, pii, prefix_trie, token_counts, toxicity
+from tidemark.llm import bpe, chat, exact, fingerprints, langid, minhash, mixing, pii, prefix_trie, resampling, token_counts, toxicity
 from tidemark.llm.shipping import ship
 from tidemark.session import apply_settings
 
@@ -79,9 +79,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(turns, prefix_trie.Rebuild())
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return resampling.resample(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii_spans, op2_winnowing, op3_prefix_token_counts, op4_minhash_near_dedup, op5_toxicity, op6_language_id, op7_source_mix, op8_bpe_round_trip,
         op9_chat_format, op10_exact_dedup, op11_prefix_trie,
+        op12_importance_resampling,
     )
 }
