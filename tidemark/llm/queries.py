@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact, fingerprints, langid, minhash, mixing, pii, prefix_trie, resampling, token_counts, toxicity
+from tidemark.llm import bpe, chat, exact, fingerprints, langid, minhash, mixing, pii, prefix_trie, quality, resampling, token_counts, toxicity
 from tidemark.llm.shipping import ship
-from tidemark.session import apply_settings
+from tidemark.session import apply_settings, cut_lineage
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,10 +84,17 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = cut_lineage(quality.document_statistics(documents(spark, sf_dir)))
+    held = langid.held_out(F.col("doc_id"), 4, 2)
+    model = quality.learn(described, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(~held))
+    return quality.score_documents(described, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii_spans, op2_winnowing, op3_prefix_token_counts, op4_minhash_near_dedup, op5_toxicity, op6_language_id, op7_source_mix, op8_bpe_round_trip,
         op9_chat_format, op10_exact_dedup, op11_prefix_trie,
-        op12_importance_resampling,
+        op12_importance_resampling, op13_quality,
     )
 }
