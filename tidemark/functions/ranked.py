@@ -159,6 +159,16 @@ def sample_n(
     return whole.unionByName(part).drop("_bin", "_room", "_m")
 
 
+def numbered(keys: DataFrame, key: str, name: str, hashed: Column | None = None) -> DataFrame:
+    """Distinct keys with consecutive numbers from 0 in the order of (32-bit hash, key): a window sees one of 4096 slices of the hash."""
+    sliced = keys.select(key).withColumn("_hash", hash_int(key) if hashed is None else hashed).withColumn("_slice", F.shiftright("_hash", 20))
+    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    # As many rows as slices.
+    before = sizes.select(F.col("_slice").alias("_of"), _before(sizes, [], "_slice", "_n").alias("_b"))
+    place = F.row_number().over(Window.partitionBy("_slice").orderBy("_hash", key)) - 1
+    return sliced.withColumn("_place", place).join(before, F.col("_slice") == F.col("_of")).select(key, (F.col("_b") + F.col("_place")).cast("bigint").alias(name))
+
+
 def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float]) -> DataFrame:
     """Exact quantiles as one column per name."""
     long = quantiles(df, keys, value, list(names.values()))

@@ -2,107 +2,55 @@
 
 Predictions are one long frame (label, model, seed, kind, unit_id, cluster, y, score) with kind
 'transferred' or 'oracle'.  Replicates are a column, not a loop: every replicate weights the units by
-integers derived from md5(seed:replicate:unit), the same for all labels, models, seeds and kinds, so
-contrasts stay paired.  Replicate 0 is the sample itself.
+integers derived from (seed, replicate, unit), the same for all labels, models, seeds and kinds, so
+contrasts stay paired (see functions/replicates.py).  Replicate 0 is the sample itself.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config
-from tidemark.functions.columns import hash_int, hash_uniform, join_groups, require_option
-from tidemark.functions.ranked import auroc
+from tidemark.functions import replicates as R
+from tidemark.functions.columns import hash_int, join_groups, require_option
+from tidemark.functions.replicates import METHODS, replicate_weights
 from tidemark.session import cut_lineage
 
 
-def poisson_cuts() -> list[float]:
-    """Cumulative Poisson(1) probabilities of 0, 1, 2, ... up to the last that a double tells from 1."""
-    cuts, term = [], math.exp(-1)
-    total = term
-    while total < 1.0 and (not cuts or total > cuts[-1]):
-        cuts.append(total)
-        term /= len(cuts)
-        total += term
-    return cuts
+LEVELS = ("unit", "cluster")
+#: Level that a method resamples unless told otherwise.
+USUAL_LEVEL = {"poisson": "unit", "multinomial": "cluster"}
 
 
-POISSON_CUTS = poisson_cuts()
+def unit_weights(units: DataFrame, n_boot: int, seed: int, unit: str = "unit_id", method: str = "poisson") -> DataFrame:
+    """(unit, weights): how often each unit counts in replicates 0..n, one array per unit; replicate 0 is the sample."""
+    return replicate_weights(units, unit, n_boot, seed, method)
 
 
-def poisson_weight(*parts: str | Column) -> Column:
-    """Poisson(1) weight by inversion of a 52-bit hash: no shuffle, same value wherever it is computed."""
-    u = hash_uniform(*parts)
-    out = F.lit(len(POISSON_CUTS))
-    for k in reversed(range(len(POISSON_CUTS))):
-        out = F.when(u < POISSON_CUTS[k], F.lit(k)).otherwise(out)
-    return out
-
-
-def unit_weights(units: DataFrame, n_boot: int, seed: int, unit: str = "unit_id") -> DataFrame:
-    """(unit, weights): 1 for replicate 0, Poisson(1) weights for replicates 1..n, one array per unit."""
-    weight = F.transform(
-        F.sequence(F.lit(0), F.lit(n_boot)),
-        lambda r: F.when(r == 0, F.lit(1)).otherwise(poisson_weight(F.lit(seed), r, F.col(unit))),
-    )
-    return units.select(unit).distinct().withColumn("weights", weight)
-
-
-def cluster_weights(clusters: DataFrame, n_boot: int, seed: int, cluster: str = "cluster") -> DataFrame:
-    """(cluster, weights): how often each cluster is drawn in replicates 0..n, as one array per cluster.
-
-    Exact resampling of K clusters out of K: draw j of replicate r takes the cluster ranked
-    md5(seed:r:j) mod K.  Draw j is made where cluster j is, so the draws are as spread as the clusters.
-    """
-    ranked = clusters.select(cluster).distinct().withColumn("_i", F.row_number().over(Window.orderBy(cluster)) - 1)
-    k = ranked.agg(F.count(F.lit(1)).cast("int").alias("k"))
-    draws = (
-        ranked.select(F.col("_i").alias("_j")).repartition("_j").withColumn("k", k.scalar())
-        .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-        .select("rep", F.pmod(hash_int(F.lit(seed), "rep", "_j"), F.col("k")).cast("int").alias("_i"))
-        .groupBy("_i", "rep").agg(F.count(F.lit(1)).cast("int").alias("w"))
-        .groupBy("_i").agg(F.map_from_entries(F.collect_list(F.struct("rep", "w"))).alias("_w"))
-    )
-    weights = F.transform(
-        F.sequence(F.lit(0), F.lit(n_boot)),
-        lambda r: F.when(r == 0, F.lit(1)).otherwise(F.coalesce(F.element_at("_w", r), F.lit(0))),
-    )
-    return ranked.join(draws, "_i", "left").select(
-        cluster, F.coalesce(F.when(F.col("_w").isNotNull(), weights),
-                            F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(0), n_boot))).alias("weights")
-    )
+def cluster_weights(clusters: DataFrame, n_boot: int, seed: int, cluster: str = "cluster", method: str = "multinomial") -> DataFrame:
+    """(cluster, weights): as `unit_weights`; 'multinomial' draws exactly as many clusters as there are."""
+    return replicate_weights(clusters, cluster, n_boot, seed, method)
 
 
 def replicate_auroc(
     pred: DataFrame, n_boot: int, seed: int = 0, method: str = "poisson", keys: Sequence[str] = ("label", "model", "seed", "kind"),
+    level: str | None = None,
 ) -> DataFrame:
-    """AUROC of every replicate and cell: (rep, keys, auroc).
+    """AUROC of every replicate and cell: (rep, keys, auroc), resampling units or whole clusters by either method.
 
-    'poisson' resamples units; 'multinomial' resamples whole clusters, exactly.  For clusters the
-    predictions are first collapsed to counts per (cell, cluster, score), so a replicate multiplies
-    distinct scores and not rows.
+    For clusters the predictions are first collapsed to counts per (cell, cluster, score).
     """
-    require_option(method, ("poisson", "multinomial"), "method")
-    keys = list(keys)
+    require_option(method, METHODS, "method")
+    level = level or USUAL_LEVEL[method]
+    require_option(level, LEVELS, "level")
     usable = pred.where(F.col("score").isNotNull() & F.col("y").isNotNull())
-    if method == "poisson":
-        counts, level = usable.withColumn("_n", F.lit(1)), "unit_id"
-        weights = unit_weights(usable, n_boot, seed)
-    else:
-        counts, level = usable.groupBy(*keys, "cluster", "y", "score").agg(F.count(F.lit(1)).alias("_n")), "cluster"
-        weights = cluster_weights(usable, n_boot, seed)
-    # Each row meets one array; the replicates unfold after the join, so no shuffle carries them.
-    weighted = (
-        counts.join(weights, level)
-        .select(*keys, "y", "score", "_n", F.posexplode("weights").alias("rep", "_w"))
-        .where(F.col("_w") > 0)
-        .withColumn("w", F.col("_w") * F.col("_n"))
-    )
-    return auroc(weighted, ["rep", *keys], weight="w").select("rep", *keys, "auroc")
+    if level == "unit":
+        return R.replicate_auroc(usable.withColumn("n", F.lit(1)), keys, "unit_id", n_boot, seed, method)
+    counts = usable.groupBy(*keys, "cluster", "y", "score").agg(F.count(F.lit(1)).alias("n"))
+    return R.replicate_auroc(counts, keys, "cluster", n_boot, seed, method)
 
 
 def replicate_gaps(replicates: DataFrame, keys: Sequence[str] = ("label", "model", "seed")) -> DataFrame:
@@ -198,7 +146,7 @@ def require_usable(summary: DataFrame) -> None:
 
 
 def two_level_bootstrap(
-    pred: DataFrame, label_a: str, label_b: str, n_boot: int = config.N_BOOT, seed: int = 0, method: str = "poisson",
+    pred: DataFrame, label_a: str, label_b: str, n_boot: int = config.N_BOOT, seed: int = 0, method: str = "poisson", level: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(draws, point, replicate gaps) of gap(a) - gap(b), resampling units or clusters and seeds.
 
@@ -206,7 +154,7 @@ def two_level_bootstrap(
     them reads them several times, so they are written once.
     """
     wanted = pred.where(F.col("label").isin(label_a, label_b))
-    gaps = cut_lineage(replicate_gaps(replicate_auroc(wanted, n_boot, seed, method)))
+    gaps = cut_lineage(replicate_gaps(replicate_auroc(wanted, n_boot, seed, method, level=level)))
     return bootstrap_draws(gaps, label_a, label_b, n_boot, seed), point_estimate(gaps, label_a, label_b), gaps
 
 

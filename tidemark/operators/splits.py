@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions.columns import hash_fold, hash_int, require_option
-from tidemark.functions.ranked import sample_n
+from tidemark.functions.ranked import numbered, sample_n
 
 TRAINING_SIZES = ("full", "matched", "event_matched")
 
@@ -52,13 +52,9 @@ def assert_folds_partition(df: DataFrame, n_folds: int, fold: str = "fold") -> N
 
 # --- site axis ------------------------------------------------------------------
 def site_groups(df: DataFrame, n_groups: int, seed: int, site: str = "site") -> DataFrame:
-    """Disjoint site groups of equal size: sites in hash order, dealt out in turn.
-
-    The window runs over distinct sites, one row each.
-    """
-    sites = df.select(site).distinct()
-    rank = F.row_number().over(Window.orderBy(hash_int(F.lit(seed), site), site)) - 1
-    return df.join(sites.withColumn("group", (rank % n_groups).cast("int")), site)
+    """Disjoint site groups of equal size: sites in hash order, dealt out in turn."""
+    sites = numbered(df.where(F.col(site).isNotNull()).select(site).distinct(), site, "_i", hash_int(F.lit(seed), site))
+    return df.join(sites.withColumn("group", (F.col("_i") % n_groups).cast("int")).drop("_i"), site)
 
 
 def regions_to_hold_out(df: DataFrame, regions: Sequence[str], min_stays: int = config.MIN_REGION_STAYS,

@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from tidemark import config
-from tidemark.operators.inference import POISSON_CUTS
+from tidemark.functions.replicates import BALL, MULTIPLIER, POISSON_CUTS
 from tidemark.plans.roles import with_roles
 
 T = config.PREDICTION_HOUR
 H = config.HORIZON_HOURS
 STUDY_HOURS = 720  # the event stream is followed for 30 days
-N_BOOT = 100
+N_BOOT = config.N_BOOT
+N_PARTS = 600  # draws of the variance decomposition
 
 
 def values(rows: Sequence[tuple]) -> str:
@@ -232,6 +233,65 @@ def poisson_sql(u: str) -> str:
     return "CASE " + " ".join(f"WHEN {u} < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(POISSON_CUTS)) + f" ELSE {len(POISSON_CUTS)} END"
 
 
+def mixed_sql(rows: str) -> str:
+    """The rows with the 32-bit mixing function applied to their column c."""
+    for _ in range(2):
+        rows = f"SELECT * REPLACE ((xor(c, c >> 16) * {MULTIPLIER}) & 4294967295 AS c) FROM ({rows})"
+    return f"SELECT * REPLACE (xor(c, c >> 16) AS c) FROM ({rows})"
+
+
+def poisson_weights_sql(keys: str, key: str) -> str:
+    """(key, rep, w) of seed 0: a Poisson(1) weight from the draw's word mixed with the two words of the key's hash."""
+    half = lambda i: f"CAST('0x' || substr(md5('0:' || {key}), {i}, 8) AS BIGINT)"
+    pairs = f"SELECT {key}, {half(1)} AS a, {half(9)} AS b, rep, rep AS c FROM (SELECT {key}, unnest(generate_series(0, {N_BOOT})) AS rep FROM {keys})"
+    drawn = mixed_sql(f"SELECT * REPLACE (xor(c, b) AS c) FROM ({mixed_sql(f'SELECT * REPLACE (xor(c, a) AS c) FROM ({mixed_sql(pairs)})')})")
+    return f"SELECT {key}, rep, CASE WHEN rep = 0 THEN 1 ELSE {poisson_sql('((c + 0.5e0) / 4294967296e0)')} END AS w FROM ({drawn})"
+
+
+def tree_ctes(name: str, keys: str, key: str, levels: int) -> dict[str, str]:
+    """Frames of the exact resampling of seed 0 for up to 2^(levels + 1) - 1 keys; `<name>_w` is (key, rep, w)."""
+    n = f"(SELECT count(*) FROM {name}_i)"
+    word = lambda rows, tag: mixed_sql(f"SELECT * REPLACE (xor(c, {tag}) AS c) FROM ({rows})")
+    ball = mixed_sql(f"SELECT rep, xor(c, j) AS c, j FROM {name}_state CROSS JOIN (SELECT i AS j FROM {name}_i)")
+    out = {
+        f"{name}_i": f"SELECT {key}, row_number() OVER (ORDER BY {hash_sql(f"CAST({key} AS VARCHAR)")}, {key}) - 1 AS i FROM (SELECT DISTINCT {key} FROM {keys})",
+        f"{name}_state": mixed_sql(f"SELECT unnest(generate_series(1, {N_BOOT})) AS rep, unnest(generate_series(1, {N_BOOT})) AS c"),
+        f"{name}_parts": f"SELECT k, ({n} >> (k + 1)) << (k + 1) AS first FROM (SELECT unnest(generate_series(0, {levels})) AS k) WHERE ({n} >> k) % 2 = 1",
+        f"{name}_balls": f"""SELECT a.rep, floor((a.c * 2097152 + (b.c >> 11)) / 9007199254740992e0 * {n}) AS place
+            FROM ({word(ball, BALL)}) a JOIN ({word(ball, BALL + 1)}) b ON b.rep = a.rep AND b.j = a.j""",
+        f"{name}_t0": f"SELECT rep, k, 0 AS node, count(*) AS n FROM {name}_balls JOIN {name}_parts ON place >= first AND place < first + (1 << k) GROUP BY rep, k",
+    }
+    for level in range(levels):
+        digits = f"""SELECT t.rep, k, node, n, digit, xor(s.c, node) AS c FROM (
+            SELECT *, unnest(list_filter(range(24), lambda d: (n >> d) % 2 = 1)) AS digit FROM {name}_t{level} WHERE k > {level} AND n > 0) t JOIN {name}_state s ON s.rep = t.rep"""
+        drawn = mixed_sql(f"SELECT * REPLACE (xor(c, (k << 12) + {level << 6} + digit) AS c) FROM ({mixed_sql(digits)})")
+        half = """CASE WHEN w.digit <= 5 THEN bit_count(c & ((1 << (1 << least(w.digit, 5))) - 1))
+            ELSE len(list_filter(cdf, lambda p: p <= (c + 0.5e0) / 4294967296e0)) END"""
+        left = f"SELECT rep, k, node, n, sum({half}) AS l FROM ({drawn}) w LEFT JOIN half_cdf h ON h.digit = w.digit GROUP BY rep, k, node, n"
+        out[f"{name}_t{level + 1}"] = f"""SELECT rep, k, 2 * node + side AS node, CAST(CASE WHEN side = 0 THEN l ELSE n - l END AS BIGINT) AS n
+            FROM ({left}) CROSS JOIN (VALUES (0), (1)) AS v(side)"""
+    leaves = " UNION ALL ".join(f"SELECT rep, k, node, n FROM {name}_t{k} WHERE k = {k}" for k in range(levels + 1))
+    out[f"{name}_w"] = f"""SELECT {key}, rep, n AS w FROM ({leaves}) t JOIN {name}_parts p ON p.k = t.k JOIN {name}_i x ON x.i = p.first + t.node
+        UNION ALL SELECT {key}, 0, 1 FROM {name}_i"""
+    return out
+
+
+#: Cumulative probabilities of Binomial(2^digit, 1/2), from value 0 on.
+HALF_CDF = """SELECT digit, list(total ORDER BY x) AS cdf FROM (
+    SELECT digit, x, sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) - n * ln(2e0))) OVER (PARTITION BY digit ORDER BY x) AS total
+    FROM (SELECT digit, 1 << digit AS n, unnest(range((1 << digit) + 1)) AS x FROM (SELECT unnest(generate_series(6, 12)) AS digit))) GROUP BY digit"""
+
+
+def resampled_ctes(name: str, weights: str, key: str) -> dict[str, str]:
+    """AUROC, gap and draws of every replicate under (key, rep, w) weights."""
+    return {
+        f"{name}_auroc": auroc_sql(f"(SELECT p.*, u.rep, u.w FROM pred p JOIN {weights} u ON u.{key} = p.{key} WHERE u.w > 0)", ["rep", "label", "model", "seed", "kind"]),
+        f"{name}_gaps": f"""SELECT rep, label, model, seed, max(CASE WHEN kind = 'oracle' THEN auroc END) - max(CASE WHEN kind = 'transferred' THEN auroc END) AS gap
+            FROM {name}_auroc GROUP BY 1, 2, 3, 4""",
+        f"{name}_draws": draws_sql(f"{name}_gaps", "toxic", "quality"),
+    }
+
+
 def draws_sql(gaps: str, a: str, b: str, n_boot: int = N_BOOT) -> str:
     """draw_both, draw_units, draw_seeds per replicate from (rep, label, model, seed, gap)."""
     def did(rows: str, name: str) -> str:
@@ -447,23 +507,15 @@ SHARED: dict[str, str] = {
         FROM (SELECT stay_id, CAST(unnest(generate_series(0, 5)) AS INTEGER) AS hour FROM common) g
         LEFT JOIN feature_rows f ON f.stay_id = g.stay_id AND floor(f.hours) = g.hour GROUP BY 1, 2""",
     # --- inference
-    "unit_w": f"""SELECT unit_id, rep, CASE WHEN rep = 0 THEN 1 ELSE {poisson_sql('u')} END AS w
-        FROM (SELECT unit_id, rep, (CAST('0x' || substr(md5('0:' || rep || ':' || unit_id), 1, 13) AS BIGINT) + 0.5e0) / {float(1 << 52)!r}::DOUBLE AS u
-              FROM (SELECT doc_id AS unit_id, unnest(generate_series(0, {N_BOOT})) AS rep FROM scored))""",
-    "unit_auroc": auroc_sql("(SELECT p.*, u.rep, u.w FROM pred p JOIN unit_w u ON u.unit_id = p.unit_id WHERE u.w > 0)",
-                            ["rep", "label", "model", "seed", "kind"]),
-    "unit_gaps": """SELECT rep, label, model, seed, max(CASE WHEN kind = 'oracle' THEN auroc END) - max(CASE WHEN kind = 'transferred' THEN auroc END) AS gap
-        FROM unit_auroc GROUP BY 1, 2, 3, 4""",
-    "unit_draws": draws_sql("unit_gaps", "toxic", "quality"),
-    "sources": "SELECT source AS cluster, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM scored)",
-    "source_w": f"""SELECT s.cluster, d.rep, count(*) AS w
-        FROM (SELECT rep, {hash_sql("'0:' || rep || ':' || j")} % (SELECT count(*) FROM sources) AS i
-              FROM (SELECT unnest(generate_series(1, {N_BOOT})) AS rep) CROSS JOIN (SELECT i AS j FROM sources)) d JOIN sources s ON s.i = d.i GROUP BY 1, 2
-        UNION ALL SELECT cluster, 0, 1 FROM sources""",
-    "source_auroc": auroc_sql("(SELECT p.*, u.rep, u.w FROM pred p JOIN source_w u ON u.cluster = p.cluster)", ["rep", "label", "model", "seed", "kind"]),
-    "source_gaps": """SELECT rep, label, model, seed, max(CASE WHEN kind = 'oracle' THEN auroc END) - max(CASE WHEN kind = 'transferred' THEN auroc END) AS gap
-        FROM source_auroc GROUP BY 1, 2, 3, 4""",
-    "source_draws": draws_sql("source_gaps", "toxic", "quality"),
+    "unit_w": poisson_weights_sql("(SELECT doc_id AS unit_id FROM scored)", "unit_id"),
+    "half_cdf": HALF_CDF,
+    **tree_ctes("exact", "(SELECT doc_id AS unit_id FROM scored)", "unit_id", 11),
+    **tree_ctes("source", "(SELECT source AS cluster FROM scored)", "cluster", 4),
+    "sourcep_w": poisson_weights_sql("(SELECT DISTINCT source AS cluster FROM scored)", "cluster"),
+    **resampled_ctes("unit", "unit_w", "unit_id"),
+    **resampled_ctes("exact", "exact_w", "unit_id"),
+    **resampled_ctes("source", "source_w", "cluster"),
+    **resampled_ctes("sourcep", "sourcep_w", "cluster"),
     "cells": """SELECT *, auroc_oracle - auroc_transferred AS gap, (auroc_oracle - auroc_transferred) / greatest(auroc_oracle - 0.5, 1e-6) AS gap_relative,
             ln(o / (1 - o)) - ln(t / (1 - t)) AS gap_logit
         FROM (SELECT *, least(greatest(auroc_oracle, 1e-6), 1 - 1e-6) AS o, least(greatest(auroc_transferred, 1e-6), 1 - 1e-6) AS t

@@ -933,8 +933,8 @@ DRAWS = ["draw_both", "draw_units", "draw_seeds"]
 SUMMARY = ["se", "ci95_lo", "ci95_hi", "ci90_lo", "ci90_hi", "p_raw", "delta_min"]
 
 
-def bootstrap(r, method="poisson"):
-    return I.two_level_bootstrap(r.pred, "toxic", "quality", Q.N_BOOT, 0, method)
+def bootstrap(r, method="poisson", level=None, n_boot=Q.N_BOOT):
+    return I.two_level_bootstrap(r.pred, "toxic", "quality", n_boot, 0, method, level)
 
 
 @query("SELECT * REPLACE (CAST(rep AS INTEGER) AS rep) FROM unit_draws", DRAWS)
@@ -942,29 +942,40 @@ def bootstrap_gap(r):
     return bootstrap(r)[0]
 
 
+@query("SELECT * REPLACE (CAST(rep AS INTEGER) AS rep) FROM exact_draws", DRAWS)
+def exact_bootstrap_gap(r):
+    return bootstrap(r, "multinomial", "unit")[0]
+
+
 @query("SELECT * REPLACE (CAST(rep AS INTEGER) AS rep) FROM source_draws", DRAWS)
 def cluster_bootstrap_gap(r):
     return bootstrap(r, "multinomial")[0]
 
 
+@query("SELECT * REPLACE (CAST(rep AS INTEGER) AS rep) FROM sourcep_draws", DRAWS)
+def cluster_poisson_gap(r):
+    return bootstrap(r, "poisson", "cluster")[0]
+
+
 @query(f"{Q.summary_sql('SELECT * FROM source_draws', 'draw_both')}", SUMMARY)
 def bootstrap_summary(r):
     return I.summarise_draws(bootstrap(r, "multinomial")[0], "draw_both")
 
 
-DECOMPOSED = """SELECT *, se_both / nullif(se_quadrature, 0) AS ratio_both_to_quadrature, se_seeds * se_seeds / nullif(se_quadrature * se_quadrature, 0) AS seed_share
-    FROM (SELECT *, sqrt(se_units * se_units + se_seeds * se_seeds) AS se_quadrature FROM (
-        SELECT stddev_samp(draw_both) AS se_both, stddev_samp(draw_units) AS se_units, stddev_samp(draw_seeds) AS se_seeds FROM source_draws))"""
+def decomposed_sql(draws: str) -> str:
+    return f"""SELECT *, se_both / nullif(se_quadrature, 0) AS ratio_both_to_quadrature, se_seeds * se_seeds / nullif(se_quadrature * se_quadrature, 0) AS seed_share
+        FROM (SELECT *, sqrt(se_units * se_units + se_seeds * se_seeds) AS se_quadrature FROM (
+            SELECT stddev_samp(draw_both) AS se_both, stddev_samp(draw_units) AS se_units, stddev_samp(draw_seeds) AS se_seeds FROM ({draws})))"""
 
 
-@query(DECOMPOSED, ["se_both", "se_units", "se_seeds", "se_quadrature", "ratio_both_to_quadrature", "seed_share"])
+@query(decomposed_sql(f"SELECT * FROM source_draws WHERE rep <= {Q.N_PARTS}"), ["se_both", "se_units", "se_seeds", "se_quadrature", "ratio_both_to_quadrature", "seed_share"])
 def variance_decomposition(r):
-    return I.decompose(bootstrap(r, "multinomial")[0])
+    return I.decompose(bootstrap(r, "multinomial", n_boot=Q.N_PARTS)[0])
 
 
 def estimate_sql(name: str, a: str, b: str) -> str:
     draws = Q.draws_sql("source_gaps", a, b)
-    parts = DECOMPOSED.replace("FROM source_draws", f"FROM ({draws})")
+    parts = decomposed_sql(draws)
     signs = f"""(SELECT (SELECT count(DISTINCT sign(x)) FROM (VALUES (g), (r), (l)) AS t(x) WHERE x <> 0) <= 1 FROM (
         SELECT avg(g) AS g, avg(r) AS r, avg(l) AS l FROM (SELECT model, {', '.join(f"avg({s}) FILTER (WHERE label = '{a}') - avg({s}) FILTER (WHERE label = '{b}') AS {o}" for s, o in (('gap', 'g'), ('gap_relative', 'r'), ('gap_logit', 'l')))} FROM cells GROUP BY model)))"""
     return f"""SELECT '{name}' AS contrast, s.*, d.se_units, d.se_seeds, d.se_quadrature, d.ratio_both_to_quadrature, d.seed_share, p.point, {signs} AS all_agree
@@ -991,7 +1002,7 @@ def draws_by_source_group(r) -> DataFrame:
 
 @query("""SELECT CAST(rep AS INTEGER) AS rep, CASE WHEN count(d.draw) = 4 THEN sum(d.draw * w.n) / sum(w.n) END AS draw FROM (
         SELECT lang, rep, sum(w * t) / nullif(sum(w * n), 0) AS draw FROM (SELECT lang, source, count(*) AS n, sum(toxic) AS t FROM scored GROUP BY 1, 2) x
-        JOIN (SELECT c.cluster, c.rep, coalesce(w.w, 0) AS w FROM (SELECT cluster, unnest(generate_series(1, 100)) AS rep FROM sources) c LEFT JOIN source_w w ON w.cluster = c.cluster AND w.rep = c.rep) y ON y.cluster = x.source
+        JOIN (SELECT c.cluster, c.rep, coalesce(w.w, 0) AS w FROM (SELECT cluster, unnest(generate_series(1, 2000)) AS rep FROM source_i) c LEFT JOIN source_w w ON w.cluster = c.cluster AND w.rep = c.rep) y ON y.cluster = x.source
         GROUP BY 1, 2) d
     JOIN (SELECT lang, count(*) AS n FROM scored GROUP BY 1) w ON w.lang = d.lang GROUP BY 1""", ["draw"])
 def pool_disjoint(r):

@@ -317,11 +317,12 @@ def estimate_contrasts(
     sesoi: float = config.SESOI,
     alpha: float = config.ALPHA,
     family: int | None = None,
+    level: str | None = None,
 ) -> DataFrame:
     """One row per contrast: point, intervals, p, Holm, variance parts, sign agreement, verdict."""
     wanted = sorted({x for _, a, b in contrasts for x in (a, b)})
     # One row per replicate and cell, read by every contrast.
-    gaps = cut_lineage(I.replicate_gaps(I.replicate_auroc(pred.where(F.col("label").isin(wanted)), n_boot, seed, method)))
+    gaps = cut_lineage(I.replicate_gaps(I.replicate_auroc(pred.where(F.col("label").isin(wanted)), n_boot, seed, method, level=level)))
     cells = M.gap_scales(_cell_aurocs(pred.where(F.col("label").isin(wanted))))
     one = F.lit(1)
     out = None
