@@ -187,6 +187,10 @@ TEMPERATURE_VALID = [25, 45]
 LABELS = ["aki_creatinine", "sofa_dysfunction", "aki_urine", "sepsis3"]
 TUNED_LOGREG = {"C": 10.0, "max_iter": 2000, "class_weight": "balanced"}
 TUNED_TREES = {"max_depth": 4, "learning_rate": 0.03, "n_estimators": 600, "subsample": 0.8}
+#: (C, class weight) of the settings that are compared.
+LOGREG_CONFIGS = [(0.01, None), (0.01, "balanced"), (0.1, None), (0.1, "balanced"), (1.0, None), (1.0, "balanced"), (10.0, None), (10.0, "balanced"),
+                  (0.003, None), (30.0, None), (0.03, None), (3.0, None)]
+N_SEEDS = 15
 N_FOLDS = 5
 N_BOOT = 2000
 SESOI = 0.010

@@ -1,8 +1,8 @@
 """Exact rank statistics without a whole group in one task.
 
-Ranks need a cumulative sum in value order, and a plain window puts a whole group into one task.  Here rows are first
-collapsed to one per distinct value (a hash aggregate with map-side combine), then cut into cells at split
-points taken from the data: a mergeable sketch of the distinct values of a group gives PARTS - 1 split points, another
+Ranks need a cumulative sum in value order, and a plain window puts a whole group into one task.  Rows are first
+collapsed to one per distinct value (a hash aggregate with map-side combine).  For the AUROC they are put into ranges once, and
+runs of a range are merged in order.  For quantiles they are cut into cells at split points taken from the data: a mergeable sketch of the distinct values of a group gives PARTS - 1 split points, another
 one those of each part.  Windows cover the parts of a group, the cells of a part, or the distinct values of a
 cell, about 1 / PARTS^2 of the group's.  The cuts steer the grouping only; comparisons use the value, and the same path is
 taken at every size.
@@ -12,15 +12,20 @@ Samples: a hash prefix decides for all rows but those of one bin.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import hash_int, join_groups
+from tidemark.shipping import ship
 
 PARTS = 64
 SKETCH_ACCURACY = 2_000
+RUN_ROWS = 1 << 16
 
 
 def _parts(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -51,8 +56,8 @@ def auroc(
 ) -> DataFrame:
     """Mid-rank AUROC per key group: columns keys, n_pos, n_neg, auroc (NULL with one class only).
 
-    With `weight` each row counts that many times.  Concordant pairs are merged bottom-up, cell, part, group:
-    an ordered run of pieces has sum(u) + sum(p * negatives in earlier pieces).
+    With `weight` each row counts that many times.  Rows are collapsed to one per distinct score, put into ranges of (keys, score) once, and each
+    run of RUN_ROWS of a range turns into one row (p, q, u) per group; an ordered row of runs has sum(u) + sum(p * negatives in earlier runs).
     """
     keys = list(keys)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -63,14 +68,13 @@ def auroc(
         .groupBy(*keys, "_s")
         .agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
     )
-    level = cells(collapsed, keys, "_s").withColumn("_u", F.col("_p") * F.col("_q") / 2.0)
-    for parent, order in ((["_d1", "_d2"], "_s"), (["_d1"], "_d2"), ([], "_d1")):
-        level = (
-            level.withColumn("_u", F.col("_u") + F.col("_p") * _before(level, [*keys, *parent], order, "_q"))
-            .groupBy(*keys, *parent)
-            .agg(*[F.sum(c).alias(c) for c in ("_p", "_q", "_u")])
-        )
-    return level.select(
+    order = [*keys, "_s"]
+    kinds = "".join(f"`{k}` {collapsed.schema[k].dataType.simpleString()}, " for k in keys)
+    ship(df.sparkSession)
+    runs = collapsed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        lambda batches: _runs(batches, keys), f"{kinds}_s double, _p double, _q double, _u double")
+    merged = runs.withColumn("_u", F.col("_u") + F.col("_p") * _before(runs, keys, "_s", "_q")).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_p", "_q", "_u")])
+    return merged.select(
         *keys,
         F.col("_p").alias("n_pos"),
         F.col("_q").alias("n_neg"),
@@ -78,6 +82,43 @@ def auroc(
     )
 
 
+def _runs(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Sorted distinct scores to one row per group and run: first score, positives, negatives, concordant pairs."""
+    held, size = [], 0
+
+    def made() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        new = changes([table.column(k) for k in keys], table.num_rows)
+        first = np.flatnonzero(new)
+        p, q = (np.asarray(table.column(c).combine_chunks()) for c in ("_p", "_q"))
+        upto = np.cumsum(q)
+        start = np.repeat(upto[first] - q[first], np.diff(np.append(first, len(q))))
+        u = np.add.reduceat(p * (upto - start - q / 2), first)
+        head = [table.column(k).combine_chunks().take(pa.array(first)) for k in keys]
+        return pa.RecordBatch.from_arrays([*head, table.column("_s").combine_chunks().take(pa.array(first)), pa.array(np.add.reduceat(p, first)),
+                                           pa.array(np.add.reduceat(q, first)), pa.array(u)], names=[*keys, "_s", "_p", "_q", "_u"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= RUN_ROWS:
+            yield made()
+            held, size = [], 0
+    if size:
+        yield made()
+
+
+def changes(columns: Iterable[pa.ChunkedArray], rows: int) -> np.ndarray:
+    """True where a row differs from the one before in any of the columns."""
+    new = np.zeros(rows, bool)
+    new[:1] = True
+    for column in columns:
+        code = np.asarray(pc.dictionary_encode(column.combine_chunks(), null_encoding="encode").indices)
+        new[1:] |= code[1:] != code[:-1]
+    return new
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact linear-interpolation quantiles, long form: keys, p, n, quantile.
 
@@ -159,14 +200,16 @@ def sample_n(
     return whole.unionByName(part).drop("_bin", "_room", "_m")
 
 
-def numbered(keys: DataFrame, key: str, name: str, hashed: Column | None = None) -> DataFrame:
-    """Distinct keys with consecutive numbers from 0 in the order of (32-bit hash, key): a window sees one of 4096 slices of the hash."""
-    sliced = keys.select(key).withColumn("_hash", hash_int(key) if hashed is None else hashed).withColumn("_slice", F.shiftright("_hash", 20))
-    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    # As many rows as slices.
-    before = sizes.select(F.col("_slice").alias("_of"), _before(sizes, [], "_slice", "_n").alias("_b"))
-    place = F.row_number().over(Window.partitionBy("_slice").orderBy("_hash", key)) - 1
-    return sliced.withColumn("_place", place).join(before, F.col("_slice") == F.col("_of")).select(key, (F.col("_b") + F.col("_place")).cast("bigint").alias(name))
+def numbered(keys: DataFrame, key: str, name: str, hashed: Column | None = None, within: Sequence[str] = ()) -> DataFrame:
+    """Distinct keys (per group of `within`) with consecutive numbers from 0 in the order of (32-bit hash, key): a window sees one of 4096 slices of the hash."""
+    within = list(within)
+    sliced = keys.select(*within, key, (hash_int(key) if hashed is None else hashed).alias("_hash")).withColumn("_slice", F.shiftright("_hash", 20))
+    sizes = sliced.groupBy(*within, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    # As many rows as slices, for each group.
+    before = sizes.select(*within, "_slice", _before(sizes, within, "_slice", "_n").alias("_b"))
+    place = F.row_number().over(Window.partitionBy(*within, "_slice").orderBy("_hash", key)) - 1
+    placed = join_groups(sliced.withColumn("_place", place), before, [*within, "_slice"])
+    return placed.select(*within, key, (F.col("_b") + F.col("_place")).cast("bigint").alias(name))
 
 
 def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float]) -> DataFrame:

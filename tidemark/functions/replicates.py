@@ -20,12 +20,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import join_groups, require_option
-from tidemark.functions.ranked import numbered
+from tidemark.functions.ranked import changes, numbered
 from tidemark.session import cut_lineage
 from tidemark.shipping import ship
 
@@ -217,20 +216,10 @@ def replicate_weights(rows: DataFrame, key: str, n_boot: int, seed: int, method:
 
 
 # --- ordered merge --------------------------------------------------------------------
-def _starts(columns: Iterable[pa.ChunkedArray], rows: int) -> np.ndarray:
-    """True where a row differs from the one before in any of the columns."""
-    new = np.zeros(rows, bool)
-    new[:1] = True
-    for column in columns:
-        code = np.asarray(pc.dictionary_encode(column.combine_chunks(), null_encoding="encode").indices)
-        new[1:] |= code[1:] != code[:-1]
-    return new
-
-
 def _pieces(table: pa.Table, keys: Sequence[str], weights: PoissonWeights | TreeWeights) -> Iterator[pa.RecordBatch]:
     """Pieces of a sorted chunk, at most about CHUNK_PIECES in a batch."""
     score = np.asarray(table.column("_score").combine_chunks())
-    cell = np.flatnonzero(_starts([table.column(k) for k in keys], len(score)))
+    cell = np.flatnonzero(changes([table.column(k) for k in keys], len(score)))
     tie = np.zeros(len(score), bool)
     tie[cell] = True
     tie[1:] |= score[1:] != score[:-1]
@@ -288,7 +277,7 @@ def _merged(batches: Iterable[pa.RecordBatch], keys: Sequence[str], width: int)
             continue
         low, high = (np.asarray(batch.column(c)) for c in ("lo", "hi"))
         values = [np.asarray(batch.column(c).flatten()).reshape(-1, width) for c in ("p", "q", "u")]
-        new = _starts([pa.chunked_array([batch.column(k)]) for k in keys], batch.num_rows)
+        new = changes([pa.chunked_array([batch.column(k)]) for k in keys], batch.num_rows)
         for i in range(batch.num_rows):
             if new[i] and (i or current is None or any(current.column(k)[0] != batch.column(k)[0] for k in keys)):
                 if current is not None:

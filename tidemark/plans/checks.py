@@ -292,6 +292,76 @@ def resampled_ctes(name: str, weights: str, key: str) -> dict[str, str]:
     }
 
 
+def one_feature_fits(rows: str, settings: Sequence[tuple[float, str | None]]) -> str:
+    """Logistic regressions of one feature by twelve Newton steps: per (label, training_set) of `rows` (label, training_set, x, y) and setting.
+
+    Columns mean, sd and b0, b1 on the scaled feature, coefficient and intercept on the plain one.
+    """
+    listed = values([(c, w or "plain") for c, w in settings])
+    return f"""WITH RECURSIVE cfg AS (SELECT CAST(c AS DOUBLE) AS C, w = 'balanced' AS balanced FROM (VALUES {listed}) AS v(c, w)),
+        st AS (SELECT label, training_set, avg(x) AS mean, stddev_pop(x) AS sd, count(*) AS n, sum(y) AS p FROM {rows} GROUP BY 1, 2),
+        zs AS (SELECT r.label, r.training_set, (x - mean) / sd AS z, y, CASE WHEN y = 1 THEN n / (2e0 * p) ELSE n / (2e0 * (n - p)) END AS even
+               FROM {rows} r JOIN st ON st.label = r.label AND st.training_set = r.training_set),
+        b AS (SELECT label, training_set, C, balanced, 0 AS step, 0e0 AS b0, 0e0 AS b1 FROM st CROSS JOIN cfg
+            UNION ALL
+            SELECT label, training_set, C, balanced, step + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+            FROM (SELECT label, training_set, C, balanced, step, b0, b1, sum(w * (p - y)) AS g0, sum(w * (p - y) * z) + b1 / C AS g1,
+                         sum(w * p * (1 - p)) AS h00, sum(w * p * (1 - p) * z) AS h01, sum(w * p * (1 - p) * z * z) + 1 / C AS h11
+                  FROM (SELECT b.*, zs.z, zs.y, CASE WHEN balanced THEN even ELSE 1e0 END AS w, 1 / (1 + exp(-(b0 + b1 * zs.z))) AS p
+                        FROM b JOIN zs ON zs.label = b.label AND zs.training_set = b.training_set WHERE step < 12)
+                  GROUP BY label, training_set, C, balanced, step, b0, b1))
+        SELECT b.label, b.training_set, C, balanced, mean, sd, b0, b1, b1 / sd AS coefficient, b0 - b1 * mean / sd AS intercept
+        FROM b JOIN st ON st.label = b.label AND st.training_set = b.training_set WHERE step = 12"""
+
+
+def scored_sql(rows: str, fits: str, on: str, columns: str) -> str:
+    return f"SELECT {columns}, r.y, 1 / (1 + exp(-(b0 + b1 * (r.x - mean) / sd))) AS score FROM {rows} r JOIN {fits} f ON f.label = r.label AND {on}"
+
+
+TUNED = [(config.TUNED_LOGREG["C"], config.TUNED_LOGREG["class_weight"])]
+PART_FRACTIONS = [f for f in config.LEARNING_FRACTIONS if f < 1]
+FOLD_NUMBERS = f"(SELECT unnest(generate_series(0, {config.N_FOLDS - 1})) AS k)"
+
+
+def model_ctes() -> dict[str, str]:
+    """The model layer with one feature: training sets as rows, fits, scores."""
+    seeds = f"(SELECT unnest(generate_series(0, {config.N_SEEDS - 1})) AS s)"
+    ranked = lambda salt, part: f"row_number() OVER (PARTITION BY {part} ORDER BY {hash_sql(f'({salt}) || chr(58) || stay_id')}, stay_id)"
+    share = (config.N_FOLDS - 1) / config.N_FOLDS
+    fractions = f"(SELECT unnest([{', '.join(map(repr, PART_FRACTIONS))}]) AS f)"
+    sizes = "(VALUES ('full'), ('matched'), ('event_matched')) AS z(training_size)"
+    return {
+        "one_rows": f"""SELECT stay_id, era, CAST(embedding[1] AS DOUBLE) AS x, {hash_sql("'0:' || stay_id")} % {config.N_FOLDS} AS fold, label, CASE label WHEN 'y_low' THEN y_low ELSE y_even END AS y
+            FROM vectors CROSS JOIN (VALUES ('y_low'), ('y_even')) AS l(label)""",
+        "fold_set": f"SELECT label, k AS training_set, x, y FROM one_rows JOIN {FOLD_NUMBERS} ON fold <> k",
+        "fold_fits": one_feature_fits("fold_set", config.LOGREG_CONFIGS),
+        "tuned_scores": scored_sql("one_rows", "fold_fits", "f.training_set = r.fold",
+                                   "'C=' || CAST(C AS VARCHAR) || CASE WHEN balanced THEN ' balanced' ELSE ' plain' END AS config, r.label, r.fold"),
+        "tuned": f"""SELECT config, avg(auroc) AS mean_auroc FROM (SELECT config, label, avg(auroc) AS auroc FROM (
+            {auroc_sql('(SELECT *, 1 AS w FROM tuned_scores)', ['config', 'label', 'fold'])}) GROUP BY 1, 2) GROUP BY 1""",
+        "one_wanted": f"""SELECT label, CAST(round_even({share!r}::DOUBLE * count(*), 0) AS BIGINT) AS n, CAST(round_even({share!r}::DOUBLE * sum(y), 0) AS BIGINT) AS p
+            FROM one_rows WHERE era = 2 GROUP BY 1""",
+        "one_set": f"""SELECT label, 'fold' || k AS training_set, x, y FROM one_rows JOIN {FOLD_NUMBERS} ON fold <> k WHERE era = 2
+            UNION ALL SELECT label, 'full' || s, x, y FROM one_rows CROSS JOIN {seeds} WHERE era <> 2
+            UNION ALL SELECT r.label, 'matched' || s, x, y FROM (SELECT *, {ranked('1000 + s', 's, label')} AS rk FROM one_rows CROSS JOIN {seeds} WHERE era <> 2) r
+                JOIN one_wanted w ON w.label = r.label WHERE rk <= n
+            UNION ALL SELECT r.label, 'event_matched' || s, x, y FROM (SELECT *, {ranked('2000 + s', 's, label, y')} AS rk FROM one_rows CROSS JOIN {seeds} WHERE era <> 2) r
+                JOIN one_wanted w ON w.label = r.label WHERE rk <= CASE WHEN y = 1 THEN p ELSE n - p END""",
+        "one_fits": one_feature_fits("one_set", TUNED),
+        "one_test": f"SELECT r.*, s, training_size FROM one_rows r CROSS JOIN {seeds} CROSS JOIN {sizes} WHERE era = 2",
+        "one_scores": scored_sql("one_test", "one_fits", "f.training_set = r.training_size || r.s", "r.label, CAST(r.s AS INTEGER) AS seed, r.training_size, 'transferred' AS kind")
+                      + " UNION ALL " + scored_sql("one_test", "one_fits", "f.training_set = 'fold' || r.fold", "r.label, CAST(r.s AS INTEGER), r.training_size, 'oracle'"),
+        "curve_set": f"""SELECT label, k || ':' || s || ':' || f AS training_set, x, y
+            FROM (SELECT *, {ranked('7000 + 100 * s + k', 's, k, label')} AS rk, count(*) OVER (PARTITION BY s, k, label) AS n
+                  FROM one_rows JOIN {FOLD_NUMBERS} ON fold <> k CROSS JOIN (SELECT unnest([0, 1, 2]) AS s) WHERE era = 2)
+            CROSS JOIN {fractions} WHERE rk <= greatest(CAST(round_even(f * n, 0) AS BIGINT), {config.MIN_LEARNING_ROWS})
+            UNION ALL SELECT label, k || ':' || s || ':1.0', x, y FROM one_rows JOIN {FOLD_NUMBERS} ON fold <> k CROSS JOIN (SELECT unnest([0, 1, 2]) AS s) WHERE era = 2""",
+        "curve_fits": one_feature_fits("curve_set", TUNED),
+        "curve_scores": scored_sql("one_rows", "curve_fits", "CAST(split_part(f.training_set, ':', 1) AS INTEGER) = r.fold AND era = 2",
+                                   "r.label, CAST(split_part(f.training_set, ':', 3) AS DOUBLE) AS fraction, CAST(split_part(f.training_set, ':', 2) AS INTEGER) AS seed"),
+    }
+
+
 def draws_sql(gaps: str, a: str, b: str, n_boot: int = N_BOOT) -> str:
     """draw_both, draw_units, draw_seeds per replicate from (rep, label, model, seed, gap)."""
     def did(rows: str, name: str) -> str:
@@ -506,6 +576,8 @@ SHARED: dict[str, str] = {
         f"{'sum' if v == 'urine_rate' else 'avg'}(CASE WHEN f.variable = '{v}' THEN f.value END) AS {v}" for v in VARIABLES) + """
         FROM (SELECT stay_id, CAST(unnest(generate_series(0, 5)) AS INTEGER) AS hour FROM common) g
         LEFT JOIN feature_rows f ON f.stay_id = g.stay_id AND floor(f.hours) = g.hour GROUP BY 1, 2""",
+    # --- models
+    **model_ctes(),
     # --- inference
     "unit_w": poisson_weights_sql("(SELECT doc_id AS unit_id FROM scored)", "unit_id"),
     "half_cdf": HALF_CDF,

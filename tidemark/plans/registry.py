@@ -14,6 +14,7 @@ from tidemark.functions.ranked import quantiles, sample_n
 from tidemark.operators import audit as A
 from tidemark.operators import cohort as K
 from tidemark.operators import concepts as C
+from tidemark.operators import crossfit as CX
 from tidemark.operators import features as X
 from tidemark.operators import inference as I
 from tidemark.operators import labels as L
@@ -1035,40 +1036,75 @@ def label_overview(r):
     return R.label_overview(here, there, LABELS)
 
 
-# --- models (no SQL form) ------------------------------------------------------------------------------------
-LOGREG = ML.Spec("logreg", {"C": 1.0, "max_iter": 100, "class_weight": "balanced"})
+# --- models ------------------------------------------------------------------------------------------------------
+LOGREG = ML.Spec("logreg", config.TUNED_LOGREG)
 TREES = ML.Spec("trees", {"max_depth": 3, "learning_rate": 0.1, "n_estimators": 10, "subsample": 0.8})
+CONFIGS = [ML.Spec("logreg", {"C": c, "max_iter": config.TUNED_LOGREG["max_iter"], "class_weight": w}, f"C={c} {w or 'plain'}") for c, w in config.LOGREG_CONFIGS]
+Y = ["y_low", "y_even"]
+SEEDS = list(range(config.N_SEEDS))
+SIZES = ["full", "matched", "event_matched"]
 
 
-def transfer_frames(r) -> DataFrame:
-    return ML.with_folds(vectors(r))
+def transfer_frames(r, features: int | None = None) -> DataFrame:
+    rows = ML.with_folds(vectors(r))
+    return rows.withColumn("features", F.slice("features", 1, features)) if features else rows
 
 
-def transfer(r, spec: ML.Spec, sizes=("full", "matched")) -> DataFrame:
-    pred = ML.run_grid(transfer_frames(r), F.col("era") != 2, F.col("era") == 2, ["y_low", "y_even"], [spec], [0], sizes)
+def transfer(r, spec: ML.Spec, sizes, seeds, features=None) -> DataFrame:
+    pred = ML.run_grid(transfer_frames(r, features), F.col("era") != 2, F.col("era") == 2, Y, [spec], seeds, sizes)
     return ML.transfer_result(pred)
 
 
 @query()
 def transfer_gap_logreg(r):
-    return transfer(r, LOGREG)
+    return transfer(r, LOGREG, SIZES, SEEDS)
+
+
+@query(f"""SELECT label, 'logreg' AS model, seed, training_size, auroc_transferred, auroc_oracle, auroc_oracle - auroc_transferred AS gap,
+        (auroc_oracle - auroc_transferred) / greatest(auroc_oracle - 0.5, 1e-6) AS gap_relative, ln(o / (1 - o)) - ln(t / (1 - t)) AS gap_logit
+    FROM (SELECT *, least(greatest(auroc_oracle, 1e-6), 1 - 1e-6) AS o, least(greatest(auroc_transferred, 1e-6), 1 - 1e-6) AS t FROM (
+        SELECT label, seed, training_size, max(CASE WHEN kind = 'transferred' THEN auroc END) AS auroc_transferred, max(CASE WHEN kind = 'oracle' THEN auroc END) AS auroc_oracle
+        FROM ({Q.auroc_sql('(SELECT *, 1 AS w FROM one_scores)', ['label', 'seed', 'training_size', 'kind'])}) GROUP BY 1, 2, 3))""",
+       ["auroc_transferred", "auroc_oracle", "gap", "gap_relative", "gap_logit"])
+def transfer_gap_one_feature(r):
+    """The whole grid of transfer_gap_logreg with one feature, which SQL can fit."""
+    return transfer(r, LOGREG, SIZES, SEEDS, 1)
+
+
+@query("SELECT label, CAST(training_set AS INTEGER) AS training_set, C, balanced, coefficient, intercept FROM fold_fits", ["coefficient", "intercept"])
+def logreg_coefficients(r):
+    """Coefficient and intercept of every (label, fold, setting) of one feature, for unscaled values."""
+    rows = CX.labelled_rows(transfer_frames(r, 1), "stay_id", Y, "features", "fold")
+    ready = CX.with_sets(rows, "stay_id", CX.other_folds(config.N_FOLDS), ())
+    fits = [CX.Fit(k, i, c, w == "balanced") for i in range(len(Y)) for k in range(config.N_FOLDS) for c, w in config.LOGREG_CONFIGS]
+    models = CX.fit_all(ready, fits)
+    found = [(Y[f.label], f.set, f.C, f.balanced, *models[i].coefficients().tolist()) for i, f in enumerate(fits)]
+    return r.spark.createDataFrame(found, "label string, training_set int, C double, balanced boolean, coefficient double, intercept double")
 
 
 @query()
 def transfer_gap_gbt(r):
-    return transfer(r, TREES, ("full",))
+    return transfer(r, TREES, ("full",), [0])
 
 
 @query()
 def learning_curve(r):
-    test = transfer_frames(r).select("stay_id", F.col("y_low").alias("y"), "features", "fold")
-    return M.learning_points(ML.learning_curve(test, LOGREG, "y_low", fractions=(0.5, 1.0), seeds=(0, 1)))
+    return M.learning_points(ML.learning_curve(transfer_frames(r).where("era = 2"), LOGREG, Y))
+
+
+@query(f"SELECT label, 'logreg' AS model, fraction, seed, auroc FROM ({Q.auroc_sql('(SELECT *, 1 AS w FROM curve_scores)', ['label', 'fraction', 'seed'])})", ["auroc"])
+def learning_curve_one_feature(r):
+    return ML.learning_curve(transfer_frames(r, 1).where("era = 2"), LOGREG, Y)
 
 
 @query()
 def tuning(r):
-    specs = [ML.Spec("logreg", {"C": c, "max_iter": 100}, f"C={c}") for c in (0.01, 1.0)]
-    return ML.tune(transfer_frames(r), specs, ["y_low"])
+    return ML.tune(transfer_frames(r), CONFIGS, Y)
+
+
+@query(f"""SELECT config, mean_auroc, config = (SELECT max_by(config, (mean_auroc, config)) FROM tuned) AS selected FROM tuned""", ["mean_auroc"])
+def tuning_one_feature(r):
+    return ML.tune(transfer_frames(r, 1), CONFIGS, Y)
 
 
 # --- flagship -------------------------------------------------------------------------------------------------
