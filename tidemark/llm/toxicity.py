@@ -5,18 +5,20 @@ negative.  The rate of a word has a Dirichlet prior: the rate of its longer pref
 so on down to the share of toxic documents, so unseen words take the rate of what they begin with.  One pass over a
 text finds all maximal segments (after Ruzzo and Tompa).  Segment scores are put on one scale by the
 extreme-value law of chance segments, lambda * S - ln(K * n), with lambda and K from the words of other documents;
-a logistic curve over the best segment, the sum of all segments above chance, the sum over distinct words and the length turns
+a logistic curve over the best segment, the sum of all significant segments, the sum over distinct words and the length turns
 them into a score.  Every occurrence of a word scores, so each passage is judged by its own words; what repeats add to a
 document is weighed against the sum over distinct words.
 
 Scale: counts are document counts per word and prefix, each under its own 64-bit hash (two of ten million share one with
 probability below 1e-5), combined before the shuffle.  Rates are worked out prefix by prefix in joins.  The model
-holds the words and prefixes whose log-odds are more than TOLERANCE from what it says of the next shorter prefix, sorted: every
-score is within TOLERANCE of the exact one at any size.  It grows with the vocabulary.  Calibration works on a histogram of segment
+holds the words and prefixes whose log-odds are more than TOLERANCE from what it says of the next shorter prefix, sorted; of these
+the MODEL_KEYS (12 bytes each) that change the scores of the learning texts most, |log-odds less the prefix's| times the documents that hold them, so
+prefixes and frequent words first.  The others are scored by their prefix.  That is the capacity of the model, which does not grow with the
+vocabulary; up to it every score is within TOLERANCE of the exact one.  Calibration works on a histogram of segment
 scores over all labelled documents.  Labels are broadcast up to BROADCAST_LABELS rows, joined by a shuffle beyond.
 Scoring is a map.
 
-Defined cases: null and empty texts and texts without a letter have no segment and the score of such; null labels
+Defined cases: null and empty texts and texts without a letter have no segment and the score of such; very long texts are read whole, a portion at a time; null labels
 are not learned from, of several labels of a document the largest counts; without labelled documents, or with one
 class only, every score is the (smoothed) share of toxic ones; columns beside those named are not read.
 """
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +42,11 @@ PREFIXES = (3, 4, 5, 6, 8, 0)  # 0: the whole word
 PRIOR = 8.0
 DRIFT = 1.2
 LEAST_RATE = 1e-4
-LEAST_SEGMENT = 1.0
+CHANCE = 0.01  # expected segments by chance below which one is significant
+MODEL_KEYS = 1 << 20
 BROADCAST_LABELS = 5_000_000
 TOLERANCE = 0.05  # of log-odds
 STEP = 0.25  # bin of a segment score
-LENGTHS = 24  # bins of log2(words)
 
 
 @dataclass(frozen=True)
@@ -118,11 +121,25 @@ def _odds(counted: DataFrame, base: float) -> DataFrame:
         rate = (F.col("toxic") + F.lit(PRIOR) * F.col("_rate")) / (F.col("seen") + F.lit(PRIOR))
         safe = F.least(F.greatest(F.col("rate"), F.lit(LEAST_RATE)), F.lit(1 - LEAST_RATE))
         rows = rows.withColumn("rate", rate).withColumn("odds", F.log(safe / (1 - safe))).withColumn("kept", F.abs(F.col("odds") - F.col("_held")) > TOLERANCE)
-        rows = cut_lineage(rows.select("key", "rate", "odds", "kept", F.when(F.col("kept"), F.col("odds")).otherwise(F.col("_held")).alias("held")))
+        rows = rows.withColumn("effect", F.abs(F.col("odds") - F.col("_held")) * F.col("seen"))
+        rows = cut_lineage(rows.select("key", "rate", "odds", "kept", "effect", F.when(F.col("kept"), F.col("odds")).otherwise(F.col("_held")).alias("held")))
         done = rows if done is None else done.unionByName(rows)
     return done
 
 
+def most_telling(odds: DataFrame, keys: int) -> DataFrame:
+    """The rows that the model needs, at most `keys`: those whose effect is above a cut found from a histogram of its logarithm."""
+    needed = odds.where("kept").withColumn("_bin", F.floor(F.log2("effect") * 64))
+    above, cut = 0, None
+    # As many bins as there are 64ths of octaves between the effects.
+    for row in sorted(needed.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        above += row["n"]
+        if above > keys:
+            cut = row["_bin"]
+            break
+    return (needed if cut is None else needed.where(F.col("_bin") > cut)).drop("_bin")
+
+
 def word_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Score of every word, where each text's words begin, where they begin and end, and whether a word is the first of its kind in its text."""
     known, odds = np.frombuffer(model.key, np.int64), np.frombuffer(model.odds, np.float32)
@@ -142,41 +159,53 @@ def word_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
 
 
 def maximal_segments(score: np.ndarray) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments as (score, first word, end); linear but for the search down the stack.
+    """All maximal scoring segments as (score, first word, end), in linear time.
 
-    Runs of scores of one sign are taken together: only positive runs can begin or end a segment.
+    Runs of scores of one sign are taken together: only positive runs can begin or end a segment.  An entry of the stack points to the nearest
+    one below it that starts lower, so a search skips what earlier ones skipped; where none starts lower, all of the stack is final.
     """
     up = score > 0
     if not up.any():
         return []
     total = np.append(0.0, np.cumsum(score, dtype=np.float64))
     edge = np.flatnonzero(np.diff(np.concatenate(([0], up.view(np.int8), [0]))))
-    stack: list[tuple[float, float, int, int]] = []
+    found: list[tuple[float, float, int, int, int]] = []
+    stack: list[tuple[float, float, int, int, int]] = []
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         low, high = float(total[a]), float(total[b])
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
             while j >= 0 and stack[j][0] >= low:
-                j -= 1
-            if j < 0 or stack[j][1] >= high:
-                stack.append((low, high, a, b))
+                j = stack[j][4]
+            if j < 0:
+                found += stack
+                stack = [(low, high, a, b, -1)]
                 break
-            low, a = stack[j][0], stack[j][2]
+            if stack[j][1] >= high:
+                stack.append((low, high, a, b, j))
+                break
+            low, _, a, _, below = stack[j]
             del stack[j:]
-    return [(high - low, a, b) for low, high, a, b in stack]
+            j = below
+    return [(high - low, a, b) for low, high, a, b, _ in found + stack]
+
 
+def significant(model: Model, score: float, words: int) -> bool:
+    """Fewer than CHANCE segments of this score are expected by chance in a text of so many words."""
+    return model.size * words * np.exp(-model.scale * score) < CHANCE
 
-def _evidence(model: Model, texts: list[str]) -> Iterator[tuple[float, float, float, int, np.ndarray]]:
-    """Best segment, sum of the segments of at least LEAST_SEGMENT, sum over distinct words, number of words, scores; for each text."""
+
+def _evidence(model: Model, texts: list[str]) -> Iterator[tuple[float, float, float, int]]:
+    """Best segment, sum of the significant segments, sum over distinct words, number of words; for each text."""
     score, first, _, fresh = word_scores(model, texts)
     distinct = np.where(fresh & (score > 0), score, 0.0)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         found = [s for s, _, _ in maximal_segments(score[a:b])]
-        yield max(found, default=0.0), sum(s for s in found if s >= LEAST_SEGMENT), float(distinct[a:b].sum()), b - a, score[a:b]
+        yield max(found, default=0.0), sum(s for s in found if significant(model, s, b - a)), float(distinct[a:b].sum()), b - a
 
 
 def _bins(best: float, total: float, distinct: float, n: int) -> tuple[int, int, int, int]:
-    return round(best / STEP), round(np.log1p(total) / STEP), round(np.log1p(distinct) / STEP), min(LENGTHS, int(n).bit_length())
+    return round(best / STEP), round(np.log1p(total) / STEP), round(np.log1p(distinct) / STEP), int(n).bit_length()
 
 
 def _features(scale: float, size: float, bins: np.ndarray) -> np.ndarray:
@@ -234,34 +263,42 @@ def learn(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
     base = ((share["a"] or 0) + 0.5) / (share["n"] + 1.0)
     counted = cut_lineage(taught.mapInArrow(_count, "level int, key bigint, parent bigint, toxic bigint, seen bigint").groupBy("level", "key").agg(
         F.first("parent").alias("parent"), F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen")))
-    told = _odds(counted, base).where("kept").select("key", F.col("odds").cast("float")).toArrow().sort_by("key")
+    told = most_telling(_odds(counted, base), MODEL_KEYS).select("key", F.col("odds").cast("float")).toArrow().sort_by("key")
     rates = [np.asarray(told.column(c).combine_chunks()).tobytes() for c in ("key", "odds")]
     model = Model(base, *rates)
 
+    def chance(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often each score occurs among the words of other documents."""
+        found: dict[int, int] = {}
+        for batch in batches:
+            for part in portions(batch.filter(pc.equal(batch.column(0), 0)), "text"):
+                score = word_scores(model, [t or "" for t in part.column(1).to_pylist()])[0]
+                for s, c in zip(*(v.tolist() for v in np.unique(np.round(score / STEP).astype(int), return_counts=True)), strict=True):
+                    found[s] = found.get(s, 0) + c
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["score", "n"])
+
+    words = taught.mapInArrow(chance, "score int, n bigint").groupBy("score").agg(F.sum("n").alias("n")).toPandas().sort_values("score")
+    scale, size = _chance(words["score"].to_numpy() * STEP, words["n"].to_numpy().astype(float)) if len(words) else (1.0, 0.1)
+    model = Model(base, *rates, scale, size)
+
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, ...], int] = {}
         for batch in batches:
             for part in portions(batch, "text"):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                for y, (*told, score) in zip(part.column(0).to_pylist(), _evidence(model, texts), strict=True):
-                    key = (0, y, *_bins(*told))
+                for y, told in zip(part.column(0).to_pylist(), _evidence(model, texts), strict=True):
+                    key = (y, *_bins(*told))
                     found[key] = found.get(key, 0) + 1
-                    if not y:
-                        for s, c in zip(*np.unique(np.round(score / STEP).astype(int), return_counts=True), strict=True):
-                            key = (1, 0, int(s), 0, 0, 0)
-                            found[key] = found.get(key, 0) + int(c)
         keys = list(found)
-        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int32()) for i in range(6)), pa.array([found[k] for k in keys], pa.int64())],
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int32()) for i in range(5)), pa.array([found[k] for k in keys], pa.int64())],
                                          names=[*keyed, "n"])
 
-    keyed = ["words", "y", "best", "total", "distinct", "size"]
+    keyed = ["y", "best", "total", "distinct", "size"]
     cells = taught.mapInArrow(measure, ", ".join(f"{k} int" for k in keyed) + ", n bigint").groupBy(*keyed).agg(F.sum("n").alias("n"))
-    table = cells.toPandas().sort_values(keyed)
-    words, seen = table[table["words"] == 1], table[table["words"] == 0]
+    seen = cells.toPandas().sort_values(keyed)
     if not len(seen):
         return Model(base, *rates, weights=(float(np.log(base / (1 - base))), 0.0, 0.0, 0.0, 0.0))
-    scale, size = _chance(words["best"].to_numpy() * STEP, words["n"].to_numpy().astype(float)) if len(words) else (1.0, 0.1)
-    x = _features(scale, size, seen[keyed[2:]].to_numpy().T)
+    x = _features(scale, size, seen[keyed[1:]].to_numpy().T)
     n = seen["n"].to_numpy().astype(float)
     return Model(base, *rates, scale, size, _logistic(x, n * (seen["y"].to_numpy() == 1), n))
 
@@ -272,7 +309,7 @@ def score_documents(docs: DataFrame, model: Model, ident: str = "doc_id", text:
         for batch in batches:
             for part in portions(batch, batch.schema.names[1]):
                 told = list(_evidence(model, [t or "" for t in part.column(1).to_pylist()]))
-                x = _features(model.scale, model.size, np.array([_bins(*e[:4]) for e in told], float).T)
+                x = _features(model.scale, model.size, np.array([_bins(*e) for e in told], float).T)
                 p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([e[0] for e in told], pa.float64())],
                                                  names=["doc_id", "score", "predicted", "best_segment"])
@@ -281,8 +318,8 @@ def score_documents(docs: DataFrame, model: Model, ident: str = "doc_id", text:
         run, "doc_id bigint, score double, predicted int, best_segment double")
 
 
-def passages(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "text", chance: float = 0.01) -> DataFrame:
-    """doc_id, begin, end (code points of the lower-cased text), score: every segment whose chance in its text is below `chance`."""
+def passages(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, begin, end (code points of the lower-cased text), score: every significant segment."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, batch.schema.names[1]):
@@ -291,7 +328,7 @@ def passages(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "
                 start = np.cumsum([0, *(len(t.lower()) for t in texts)])
                 out = [(i, span[0, a + f] - start[k], span[1, a + e - 1] - start[k], s)
                        for k, (i, a, b) in enumerate(zip(part.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True))
-                       for s, f, e in maximal_segments(score[a:b]) if np.exp(-model.scale * s) * model.size * (b - a) < chance]
+                       for s, f, e in maximal_segments(score[a:b]) if significant(model, s, b - a)]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([int(o[1]) for o in out], pa.int64()),
                                                   pa.array([int(o[2]) for o in out], pa.int64()), pa.array([float(o[3]) for o in out], pa.float64())],
                                                  names=["doc_id", "begin", "end", "score"])
