@@ -2,7 +2,7 @@
 
 The distinct words of a batch lie in one flat symbol array.  A round looks up every adjacent pair by binary
 search in the sorted pair keys, takes the lowest rank of each word and merges all its occurrences from the left;
-rounds go on until no word has a pair left.  Words already seen by the worker come from a bounded memo.
+rounds go on until no word has a pair left.  Words of over LONG_WORD bytes are merged by a queue of pairs.  Words already seen by the worker come from a bounded memo.
 
 Texts are treated as the tokenizer file says: special strings are cut out of the raw text first, the rest
 is put into NFC and lower case, white space is dropped and the pattern's matches are the words.
@@ -10,13 +10,14 @@ is put into NFC and lower case, white space is dropped and the pattern's matches
 Scale: a map over documents, no shuffle, memory bounded by the memo and one portion of text.
 
 Defined cases: null text counts as empty and gives no ids; the digests of nothing are those of the empty
-string; repeated rows are encoded each; columns beside identifier and text are not read.  Code points without
+string; very long texts and words are encoded whole; repeated rows are encoded each; columns beside identifier and text are not read.  Code points without
 a character in Unicode 16 may be classed otherwise than by the library.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrays import portions
 
 MEMO_WORDS = 400_000
+LONG_WORD = 512  # bytes; rounds take time in the square of a word's length
 SPACE = r"\t-\r \x85\xa0  -     　"
 SCHEMA = "doc_id bigint, ids array<int>, decoded string"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -67,9 +69,52 @@ class WordBpe:
         self.find = regex.compile(pattern.replace(r"\s", SPACE)).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.memo: dict[str, tuple[int, str, str]] = {}
+        self.ranked: dict | None = None
 
     def merge(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word."""
+        """Ids of each word: batched rounds for words of up to LONG_WORD bytes, a queue of pairs for each longer one."""
+        long = [i for i, w in enumerate(words) if len(w.encode()) > LONG_WORD]
+        if not long:
+            return self.merge_rounds(words)
+        out: list[np.ndarray | None] = [None] * len(words)
+        for i in long:
+            out[i] = self.merge_queue(words[i].encode())
+        short = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(short, self.merge_rounds([words[i] for i in short]) if short else (), strict=True):
+            out[i] = ids
+        return out
+
+    def merge_queue(self, word: bytes) -> np.ndarray:
+        """Ids of one word: pairs leave a queue by (rank, place); each merge puts its two new pairs in, so a word of n bytes takes n log n steps."""
+        rank = self._pair_ranks()
+        symbol = self.inner[np.frombuffer(word, np.uint8)].tolist()
+        symbol[-1] = int(self.final[word[-1]])
+        after = [*range(1, len(symbol)), -1]
+        before = list(range(-1, len(symbol) - 1))
+        queue = [(*rank[pair], i, pair[0], pair[1]) for i, pair in enumerate(zip(symbol[:-1], symbol[1:])) if pair in rank]
+        heapq.heapify(queue)
+        while queue:
+            _, made, i, a, b = heapq.heappop(queue)
+            j = after[i]
+            if symbol[i] != a or j < 0 or symbol[j] != b:
+                continue  # one of the two was merged meanwhile
+            symbol[i], symbol[j] = made, -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right >= 0 and (symbol[left], symbol[right]) in rank:
+                    heapq.heappush(queue, (*rank[symbol[left], symbol[right]], left, symbol[left], symbol[right]))
+        return np.array([s for s in symbol if s != -1], np.int64)
+
+    def _pair_ranks(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(left, right) -> (rank, id of the merged pair)."""
+        if self.ranked is None:
+            self.ranked = {(k >> 32, k & 0xFFFFFFFF): (r, m) for k, r, m in zip(self.keys.tolist(), self.ranks.tolist(), self.made.tolist(), strict=True)}
+        return self.ranked
+
+    def merge_rounds(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word; a round merges the lowest pair of every word."""
         raw = [w.encode() for w in words]
         lengths = np.array([len(r) for r in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
