@@ -4,14 +4,14 @@ Byte-level BPE encodes each match of the splitting pattern by itself.  Inside a
 certain token: the only vocabulary token that ends there and stands well beside the last token of what
 precedes it, where two tokens stand well if encoding their joined bytes gives just these two.  So a dynamic program
 over the prefixes stores the last token and the count at each, and the count of a whole match, of any of its
-prefixes and of a budget's cut are read off without encoding again.
+prefixes and of a budget's cut are read off that array; for the match a cut lies in it is kept and goes on where the last question ended.
 
 Scale: a map over documents; memory holds one portion of text and a bounded memo of matches already counted.
 
 Defined cases: null text counts as empty and has no tokens; special strings of the vocabulary inside a text are one
 token each, as the library has it by default; repeated rows are counted each; columns beside identifier and text
-are not read.  A prefix that ends inside a special string, a run of white space or a contraction is counted
-as the library counts that prefix alone.
+are not read.  Very long texts and words are read whole.  A prefix is counted as the library counts that prefix alone: one that ends in
+white space has its trailing run as one match, one that ends inside a special string or a contraction is split anew from two matches before.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ from tidemark.llm.bpe import SPACE, byte_alphabet
 MEMO = 1_200_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
-REACH = 16  # characters before a cut that the pattern may split otherwise once the text ends there
 
 
 class PrefixCounter:
@@ -57,6 +56,8 @@ class PrefixCounter:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
         self.beside: dict[tuple[bytes, bytes], bool] = {}
         self.memo: dict[str, int] = dict.fromkeys(self.special, 1)
+        self.blank = regex.compile(rf"{space}+").fullmatch
+        self.kept: tuple | None = None
 
     def _edge(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
         """The pieces at one edge of a token while it is merged, each with the rank of the merge that makes it."""
@@ -155,15 +156,42 @@ class PrefixCounter:
     def tables(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         return map(self.table, self.split_all(texts))
 
-    def at_prefix(self, text: str, size: int, ends: list[int], sums: list[int]) -> int:
-        """Tokens of text[:size], given where matches end and the tokens up to there.
+    def _kept_count(self, text: str, start: int, size: int) -> int:
+        """Tokens of text[start:size], all in one match: read off the kept array, which grows with what is asked."""
+        if self.kept is None or self.kept[0] is not text or self.kept[1] != start:
+            self.kept = (text, start, start, [0], [0], [b""], b"")
+        _, _, upto, at, count, last, word = self.kept
+        if size > upto:
+            more = [c.encode() for c in text[upto:size]]
+            word += b"".join(more)
+            at += list(accumulate(map(len, more), initial=at[-1]))[1:]
+            self.prefixes(word, count, last)
+            self.kept = (text, start, size, at, count, last, word)
+        return count[at[size - start]]
 
-        All matches that end well before the cut are the same in the prefix; only the rest is split anew.  A run of white
-        space may give its last character to a word that follows, hence one match more.
-        """
-        i = max(0, int(np.searchsorted(ends, max(0, size - REACH), "right")) - 1)
-        start, before = (ends[i - 1], sums[i - 1]) if i else (0, 0)
-        return before + self.count(text[start:size])
+    def at_prefix(self, text: str, size: int, ends: list[int], sums: list[int]) -> int:
+        """Tokens of text[:size], given where matches end and the tokens up to there."""
+        if size <= 0 or not ends:
+            return 0
+        i = int(np.searchsorted(ends, size, "left"))
+        begin = lambda k: ends[k - 1] if k > 0 else 0
+        start, final = begin(i), text[size - 1]
+        if self.blank(final):
+            # At its end a text's white space is one match, wherever the whole text splits it.
+            while i > 0 and self.blank(text[start - 1]) and self.blank(text[begin(i - 1):start]):
+                i, start = i - 1, begin(i - 1)
+            if self.blank(text[start:size]):
+                return (sums[i - 1] if i else 0) + self._kept_count(text, start, size)
+        if size == ends[i]:
+            return sums[i]
+        match = text[start:ends[i]]
+        if match in self.special or match[0] == "'" and match[1:2].isalpha():
+            i = max(0, i - 2)
+            return (sums[i - 1] if i else 0) + sum(map(self._alone, self.matches(text[begin(i):size])))
+        return (sums[i - 1] if i else 0) + self._kept_count(text, start, size)
+
+    def _alone(self, match: str) -> int:
+        return self.memo[match] if match in self.memo else self.prefixes(match.encode())[-1]
 
     def longest_within(self, text: str, budget: int, ends: list[int], sums: list[int]) -> int:
         """Characters of the longest prefix such that it and all prefixes a few matches shorter have at most `budget` tokens."""
@@ -194,10 +222,9 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, ident: str
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for value, matches in zip(texts, counter.split_all(texts), strict=True):
                     size.append(len(value) if value.isascii() else len(value.encode()))
-                    total.append(sum(map(counter.memo.__getitem__, matches)))
-                    # A match has a token at least, so the cut lies in the first `limit` matches.
-                    near = counter.table(matches[:limit + 1]) if total[-1] > limit else ([], [])
-                    fits.append(counter.longest_within(value, limit, *near))
+                    ends, sums = counter.table(matches)
+                    total.append(sums[-1] if sums else 0)
+                    fits.append(counter.longest_within(value, limit, ends, sums))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(size, pa.int64()), pa.array(total, pa.int64()),
                     pa.array([t > limit for t in total], pa.bool_()), pa.array(fits, pa.int64()),
