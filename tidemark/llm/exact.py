@@ -7,8 +7,8 @@ there and the one that stays.
 
 Scale: every input partition first inserts into tries of its own and sends each distinct text once, so a
 text with a third of all rows arrives once per input partition.  Rows reach a task ordered by (length, hash)
-and a trie lives only as long as its key.  A trie that outgrows its budget spills subtrees to scratch
-files of the task and takes them up one after another.
+and a trie lives only as long as its key.  A trie that outgrows its budget, objects counted, spills its subtrees to scratch
+files of the task and takes them up one after another, each within the same budget.
 
 Defined cases: null text counts as empty; empty and blank texts equal each other; of equal texts the one
 with the most code points in the original text stays, then the smallest identifier, null identifiers last;
@@ -21,6 +21,7 @@ import hashlib
 import pickle
 import tempfile
 from collections.abc import Iterable, Iterator
+from typing import IO
 
 import pyarrow as pa
 import xxhash
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 LOCAL_BYTES = 48 << 20
+ENTRY_BYTES = 900  # a node with its dictionary, label and owner, measured
 TRIE_BYTES = 256 << 20
 OWNERS = "length int, hash bigint, body binary, chars int, id bigint, n bigint"
 GROUPS = "sha string, keep_id bigint, group_size bigint"
@@ -60,21 +62,27 @@ def better(a: tuple, b: tuple) -> tuple:
 
 
 class PatriciaTrie:
-    """Byte strings with owners; beyond `limit` bytes the largest subtrees go to scratch files."""
+    """Byte strings with owners; beyond `limit` bytes of memory the subtrees go to scratch files.
+
+    A spill cuts below the longest prefix that all keys share: every child there is a subtree with a file of its own, to which later keys of
+    that subtree go straight.  A file is taken up as a trie with the same limit, which spills again below its own, longer prefix.
+    """
 
     def __init__(self, limit: int = TRIE_BYTES):
-        self.root, self.limit, self.size, self.spilled = _Node(b""), limit, 0, {}
+        self.root, self.limit, self.size = _Node(b""), limit, 0
+        self.spilled: list[tuple[bytes, dict[int, IO[bytes]]]] = []
 
     def insert(self, key: bytes, owner: tuple) -> None:
-        if (file := self.spilled.get(key[:1])) is not None:
-            pickle.dump((key, owner), file)
-            return
+        for prefix, files in self.spilled:
+            if len(key) > len(prefix) and key[len(prefix)] in files and key.startswith(prefix):
+                pickle.dump((key, owner), files[key[len(prefix)]])
+                return
         node, rest = self.root, key
         while rest:
             child = node.children.get(rest[0])
             if child is None:
                 node.children[rest[0]] = _Node(rest, owner)
-                self.size += len(rest)
+                self.size += len(rest) + ENTRY_BYTES
                 break
             n = _shared(child.label, rest)
             if n < len(child.label):  # split the edge
@@ -82,31 +90,30 @@ class PatriciaTrie:
                 child.label = child.label[n:]
                 top.children[child.label[0]] = child
                 node.children[rest[0]] = child = top
+                self.size += ENTRY_BYTES
             node, rest = child, rest[n:]
         else:
             node.owner = owner if node.owner is None else better(node.owner, owner)
-        while self.size > self.limit and self._spill():
-            pass
-
-    def _spill(self) -> bool:
-        """Move the largest subtree below the root to a scratch file; one subtree alone is let grow."""
-        if len(self.root.children) < 2:
-            return False
-        sizes = {b: sum(len(k) for k, _ in self._walk(n, b"")) for b, n in self.root.children.items()}
-        first = max(sizes, key=sizes.get)
-        file = self.spilled[bytes([first])] = tempfile.TemporaryFile()
-        for key, owner in self._walk(self.root.children.pop(first), b""):
-            pickle.dump((key, owner), file)
-        self.size = sum(sum(len(x.label) for x in self._nodes(n)) for n in self.root.children.values())
-        return True
-
-    @staticmethod
-    def _nodes(node: _Node) -> Iterator[_Node]:
-        stack = [node]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(node.children.values())
+        if self.size > self.limit:
+            self._spill()
+
+    def _spill(self) -> None:
+        """Move every subtree below the shared prefix to a scratch file; a key that ends there stays, as does a single key."""
+        prefix, node = b"", self.root
+        while len(node.children) == 1 and node.owner is None:
+            node = next(iter(node.children.values()))
+            prefix += node.label
+        if not node.children:
+            return
+        files: dict[int, IO[bytes]] = {}
+        for first, child in node.children.items():
+            files[first] = tempfile.TemporaryFile()
+            for key, owner in self._walk(child, prefix):
+                pickle.dump((key, owner), files[first])
+        self.spilled.append((prefix, files))
+        self.root, self.size = _Node(b""), 0
+        if node.owner is not None:
+            self.insert(prefix, node.owner)
 
     @staticmethod
     def _walk(node: _Node, above: bytes) -> Iterator[tuple[bytes, tuple]]:
@@ -122,17 +129,18 @@ class PatriciaTrie:
         """Every key with its owner: subtrees in memory, then each spilled one by itself."""
         yield from self._walk(self.root, b"")
         self.root, self.size = _Node(b""), 0
-        for file in self.spilled.values():
-            part = PatriciaTrie(1 << 62)
-            file.seek(0)
-            while True:
-                try:
-                    part.insert(*pickle.load(file))
-                except EOFError:
-                    break
-            yield from part.items()
-            file.close()
-        self.spilled = {}
+        spilled, self.spilled = self.spilled, []
+        for _, files in spilled:
+            for file in files.values():
+                part = PatriciaTrie(self.limit)
+                file.seek(0)
+                while True:
+                    try:
+                        part.insert(*pickle.load(file))
+                    except EOFError:
+                        break
+                file.close()
+                yield from part.items()
 
 
 def _rows(items: Iterable[tuple[int, int, bytes, tuple]]) -> pa.RecordBatch:
