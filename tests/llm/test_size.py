@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, token_counts, toxicity
+from tidemark.llm import bpe, exact, pii, token_counts, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -103,3 +103,49 @@ def test_one_very_long_word_is_quick():
     start = time.process_time()
     own.merge([word])
     assert time.process_time() - start < 1.5
+
+
+# --- exact dedup ------------------------------------------------------------------------
+@pytest.mark.parametrize("limit", [1, 5000, 1 << 30])
+def test_spilled_tries_hold_every_key(limit):
+    rng = random.Random(5)
+    shared = b"one common beginning "
+    keys = [shared * rng.randrange(3) + bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) for _ in range(600)] + [b"", shared, b"z" * 9000]
+    trie, want = exact.PatriciaTrie(limit), {}
+    for n, key in enumerate(keys):
+        owner = (-rng.randrange(3), n, 1)
+        trie.insert(key, owner)
+        want[key] = exact.better(want[key], owner) if key in want else owner
+    found = list(trie.items())
+    assert len(found) == len(want) and dict(found) == want
+
+
+def test_short_keys_count_their_objects():
+    trie = exact.PatriciaTrie(1 << 20)
+    for i in range(5000):
+        trie.insert(f"{i:010}".encode(), (0, i, 1))
+    assert trie.spilled and len(list(trie.items())) == 5000
+
+
+# --- personal data ----------------------------------------------------------------------
+def test_sample_ignores_identifiers_and_repeats(spark):
+    rows = [(None, f"call +1 555 000 {1000 + i} or mail a{i}@b.org today") for i in range(400)] + [(7, "the same +1 555 123 4567 x@y.org")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.learn(docs, sample_docs=100)
+    other = pii.learn(docs.withColumn("doc_id", docs["doc_id"] + 1).repartition(3), sample_docs=100)
+    assert model.cut == other.cut
+    got = pii.find_spans(docs, model).collect()
+    assert len(got) == 900 and sum(r.doc_id is None for r in got) == 400
+
+
+def test_examples_of_a_document_are_bounded():
+    text = " ".join(f"+1 555 000 {i:04}" for i in range(3000))
+    found = list(pii.examples(1, text))
+    assert len(found) > pii.MOST_EXAMPLES == len(pii.few(found, 12345)) and pii.few(found[:3], 1) == found[:3]
+
+
+def test_written_out_addresses_are_taken_whole():
+    local, host = "a.very-long_local+part" * 9, ".".join(["sub" * 30] * 12)
+    text = f"write to {local} [at] {host} now"
+    start = text.index(local)
+    assert ("email", start, start + len(f"{local} [at] {host}")) in pii.candidates(text)
