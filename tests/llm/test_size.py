@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, exact, pii, token_counts, toxicity
+from tidemark.llm import bpe, exact, minhash, mixing, pii, token_counts, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -149,3 +149,27 @@ def test_written_out_addresses_are_taken_whole():
     text = f"write to {local} [at] {host} now"
     start = text.index(local)
     assert ("email", start, start + len(f"{local} [at] {host}")) in pii.candidates(text)
+
+
+# --- near duplicates and mix: rows without identifiers ------------------------------------
+def test_rows_without_identifier_are_grouped(spark):
+    same = " ".join(f"w{i}" for i in range(60))
+    near = same.replace("w59", "other")
+    alone = " ".join(f"v{i}" for i in range(30))
+    rows = [(3, same), (None, near), (None, alone), (None, alone), (9, "one two"), (None, None)]
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str)
+    assert found == sorted([(3, 56, 3, True), (None, 56, 3, False), (None, 26, None, True), (None, 26, None, False), (9, 1, 9, True), (None, 0, None, True)], key=str)
+
+
+def test_equal_identifiers_draw_apart(spark):
+    rows = [(None if i % 3 else 7, "word " * 10, "s") for i in range(600)] + [(1000 + i, "word " * 10, "t") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs.repartition(4), weights=(1, 1), share=1.25).collect()
+    again = mixing.mix_sources(docs.repartition(3), weights=(1, 1), share=1.25).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == 900
+    for source in "st":
+        part = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in part) - part[0].target) <= 10 and all(r.taken <= 20 for r in part)
+    taken = {i: {r.copies for r in got if r.source == "s" and r.doc_id == i} for i in (None, 7)}
+    assert all(len(v) > 1 for v in taken.values())  # not all or none

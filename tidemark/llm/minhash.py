@@ -18,8 +18,8 @@ itself.  Components grow by label propagation with pointer jumping over written
 executors.
 
 Defined cases: null, empty and blank texts have no shingles and stand alone; texts of one to four words have one
-shingle, the whole sequence; a repeated row is its own copy; null identifiers are left out of the result;
-columns beside identifier and text are not read.
+shingle, the whole sequence; very long texts are read whole; a repeated row is its own copy; rows without identifier come after all others: one
+stays only where its group has no identifier, and the component of such a group is null; columns beside identifier and text are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ WIDTH = 5
 BINS, ROWS = 128, 4
 NUMBER, OUT_OF = 75, 100  # linked at NUMBER / OUT_OF of the union or more
 HUB_SPREAD = 500  # members confirmed against one copy of their hub
+HUB_COPIES = 32  # tasks that share the members of one hub
+NAMELESS = 1 << 62  # keys of rows without identifier, above every identifier
 SIGNATURES = "doc_id bigint, n bigint, set_a bigint, set_b bigint, bands array<bigint>"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -50,7 +52,8 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.n
     n = len(code)
     rolled = np.zeros(n, np.uint64)
     for k in range(width):
-        rolled[:n - k] = mix(rolled[:n - k] * _GOLD + code[k:] + np.uint64(k + 1))
+        rest = max(0, n - k)
+        rolled[:rest] = mix(rolled[:rest] * _GOLD + code[k:] + np.uint64(k + 1))
         if k + 1 < width:  # texts that end here keep the whole sequence
             short = first[:-1][count == k + 1]
             whole = rolled[short].copy()
@@ -177,7 +180,9 @@ def possible_pairs(checked: DataFrame, label: DataFrame) -> DataFrame:
     placed = group.join(label.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
     parts = placed.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("m"))
     mixed = parts.groupBy("hub").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_rows = cut_lineage(placed.join(mixed.select("hub", "major"), "hub"))
+    # One row per hub, copied, so that a hub with most of the members meets them in many tasks.
+    copied = mixed.select("hub", "major", F.explode(F.sequence(F.lit(0), F.lit(HUB_COPIES - 1))).alias("part"))
+    open_rows = cut_lineage(placed.withColumn("part", F.pmod(F.xxhash64("member"), F.lit(HUB_COPIES)).cast("int")).join(copied, ["hub", "part"]).drop("part"))
     minor = open_rows.where("component <> major").select(
         "hub", F.col("member").alias("x"), F.col("n").alias("k"), F.col("both").alias("b"), F.col("component").alias("c"), F.col("prefix").alias("p"))
     apart = (F.col("component") != F.col("c")) & ((F.col("component") == F.col("major")) | (F.col("member") < F.col("x")))
@@ -221,7 +226,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (the smallest identifier of its component)."""
-    docs = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    # Written, so that a row without identifier has one key however often it is read.
+    nameless = cut_lineage(docs.where("doc_id is null").withColumn("doc_id", F.lit(NAMELESS) + F.monotonically_increasing_id()))
+    docs = docs.where("doc_id is not null").unionByName(nameless)
     signed = cut_lineage(docs.mapInArrow(_sign, SIGNATURES))
     classes = cut_lineage(signed.where("n > 0").groupBy("set_a", "set_b").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
@@ -243,12 +251,13 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
 
     grouped = classes.select("set_a", "set_b", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     grouped = grouped.select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
+    named = lambda key: F.when(key < NAMELESS, key)
     return signed.join(grouped, ["set_a", "set_b"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
+        named(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), named(F.coalesce("component", "doc_id")).alias("component_id"),
         F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of every near-duplicate group, all columns; rows without an identifier are kept."""
-    gone = near_groups(docs, ident, text).where("not kept").select(F.col("doc_id").alias("_gone_id"))
+    """One document of every near-duplicate group, all columns; rows without an identifier cannot be told apart and are kept."""
+    gone = near_groups(docs, ident, text).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone_id"))
     return docs.join(gone, F.col(ident) == F.col("_gone_id"), "left_anti")
