@@ -1,11 +1,14 @@
 """The studies and a few registered queries end to end on the smallest data."""
 
 import os
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidemark import config
+from tidemark.operators import concepts as C
 from tidemark.operators import models as ML
 from tidemark.operators import reports as R
 from tidemark.plans.registry import QUERIES, study
@@ -87,3 +90,21 @@ def test_transfer_carries_the_cluster_and_scores_every_row(spark):
     assert result.auroc_transferred > 0.6 and result.gap == pytest.approx(result.auroc_oracle - result.auroc_transferred)
     info = ML.training_summary(train, test, "event_matched", 3).head()
     assert info.n_test == 120 and info.n_train_used <= 80
+
+
+def test_one_chart_scan_serves_every_extractor(spark, frame):
+    gcs, vent = list(config.GCS_PART_ITEMS.values()), config.VENTILATION_ITEMS[0]
+    rate, kilo = config.CHART_CONCEPTS["heart_rate"]["itemids"][0], config.CHART_CONCEPTS["weight_kg"]["itemids"][0]
+    start = datetime(2020, 1, 1)
+    rows = [(s, item, start + timedelta(hours=h), v, "x") for s in (1, 2, 3) for h, item, v in
+            [(-5, kilo, 70.0), (1, rate, 80.0), (2, rate, None), (3, vent, None), (200, rate, 90.0), *[(4, i, 3.0) for i in gcs], (1, -1, 5.0)]]
+    charts = frame("stay_id int, itemid int, charttime timestamp, valuenum double, value string", *rows)
+    cohort = frame("stay_id int, intime timestamp, gender string", (1, start, "F"), (2, start, "M"))
+    routed = C.route_charts(charts, cohort, 96.0)
+    assert routed.where("itemid = -1 or stay_id = 3").isEmpty()
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    for family, extract in (("chart", C.chart), ("gcs", C.gcs_total), ("ventilation", C.ventilated_hours), ("weight", C.weights)):
+        part = C.family_of(routed, family)
+        assert plain(extract(part, cohort)) == plain(extract(charts, cohort)) != []
+        plan = str(part._jdf.queryExecution().executedPlan())
+        assert "PartitionFilters: [isnotnull(family" in plan

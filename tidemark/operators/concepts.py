@@ -21,6 +21,7 @@ from tidemark.functions.columns import (
     within_hours,
 )
 from tidemark.functions.ranked import medians
+from tidemark.session import cut_lineage
 
 
 def by_item(concepts: Mapping[str, Mapping], entry) -> Column:
@@ -85,6 +86,36 @@ def chart(
     return extract(chartevents, cohort, _pick(concepts, names), "stay_id", 0, max_hours)
 
 
+#: Which chart items the extractors below read.
+CHART_FAMILIES = {
+    "chart": sorted({i for spec in config.CHART_CONCEPTS.values() for i in spec["itemids"]}),
+    "gcs": sorted(config.GCS_PART_ITEMS.values()),
+    "ventilation": sorted(config.VENTILATION_ITEMS),
+    "weight": sorted({i for c in ("weight_kg", "weight_lbs") for i in config.CHART_CONCEPTS[c]["itemids"]}),
+}
+
+
+def route_charts(chartevents: DataFrame, cohort: DataFrame, max_hours: float = config.MAX_HOURS) -> DataFrame:
+    """The chart rows that any extractor can use, by family: one scan, one cohort join, written partitioned by `family`.
+
+    Rows up to the end of the longest window of each stay of the cohort; a row whose item serves two families stands in both.  `family_of`
+    reads one family, by partition pruning, as a chart table for the extractors.
+    """
+    items = sorted({i for ids in CHART_FAMILIES.values() for i in ids})
+    serves = [x for i in items for x in (F.lit(i), F.array(*[F.lit(f) for f, ids in CHART_FAMILIES.items() if i in ids]))]
+    last = F.col("intime") + F.expr(f"INTERVAL {int(max(max_hours, config.WEIGHT_WINDOW_HOURS)) + 1} HOUR")
+    rows = (
+        chartevents.where(F.col("itemid").isin(items) & (F.col("valuenum").isNotNull() | F.col("value").isNotNull()))
+        .select("stay_id", "itemid", "charttime", "valuenum", "value")
+        .join(cohort.select("stay_id", "intime"), "stay_id").where(F.col("charttime") <= last).drop("intime")
+    )
+    return cut_lineage(rows.withColumn("family", F.explode(F.create_map(*serves)[F.col("itemid").cast("int")])), "family")
+
+
+def family_of(routed: DataFrame, family: str) -> DataFrame:
+    return routed.where(F.col("family") == family).drop("family")
+
+
 def one_concept(long: DataFrame, name: str) -> DataFrame:
     return long.where(F.col("concept") == name).select("stay_id", "hours", "value")
 

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.functions.ranked import medians
 from tidemark.operators import concepts as C
+from tidemark.operators.summaries import set_statistics, stats_frame
 from tidemark.operators.temporal import fill_forward
+from tidemark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -37,8 +39,12 @@ def feature_events(
     cohort: DataFrame,
     weight: DataFrame,
     window_hours: int = config.WINDOW_HOURS,
+    gcs_events: DataFrame | None = None,
 ) -> DataFrame:
-    """Long frame (stay_id, variable, hours, value) of all features with 0 <= hours < window."""
+    """Long frame (stay_id, variable, hours, value) of all features with 0 <= hours < window.
+
+    `gcs_events` are the chart rows of the coma score, if they come apart from the others.
+    """
     plain = [v for v in config.VITALS if v not in ("temperature", "gcs_total")]
     charted = C.chart(chartevents, cohort, [*plain, "temperature_c", "temperature_f"], window_hours)
     is_f = F.col("concept") == "temperature_f"
@@ -50,7 +56,7 @@ def feature_events(
         F.when(is_f, fahrenheit_to_celsius(F.col("value"))).otherwise(F.col("value")).alias("value"),
     ).where((F.col("variable") != "temperature") | F.col("value").between(*config.TEMPERATURE_VALID))
     labs = C.lab(labevents, cohort, config.LABS, window_hours, lookback_days=0).withColumnRenamed("concept", "variable")
-    gcs = C.gcs_total(chartevents, cohort, window_hours).withColumn("variable", F.lit("gcs_total"))
+    gcs = C.gcs_total(chartevents if gcs_events is None else gcs_events, cohort, window_hours).withColumn("variable", F.lit("gcs_total"))
     urine = urine_rate(C.urine_output(outputevents, cohort, window_hours), weight)
     out = vitals
     for part in (labs, gcs, urine):
@@ -199,11 +205,13 @@ def missing_fraction(matrix: DataFrame) -> DataFrame:
 def fit_preprocessor(rows: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """Per feature of an array column: (keys, pos, median, mean, sd), fitted on the given rows only.
 
-    With `keys` every group of rows gets its own statistics in the same pass.
-
     Median of the finite values (0 if none), then mean and population SD after filling; an SD of
-    1e-12 or less becomes 1.  Features are rows here, so the work spreads over feature x value.
+    1e-12 or less becomes 1.  Without `keys` the passes reduce each task's rows to vectors (see summaries.py) and as many rows as features
+    come back; with `keys`, of which there may be many, features are rows and the work spreads over feature x value.
     """
+    if not keys:
+        ready = cut_lineage(rows.select(F.array(F.lit(0)).alias("sets"), F.col(column).cast("array<double>").alias("x"), F.array().cast("array<double>").alias("ys")))
+        return stats_frame(rows.sparkSession, set_statistics(ready), [0]).drop("set")
     cell = [*keys, "pos"]
     long = rows.select(*keys, F.posexplode(column).alias("pos", "value"))
     usable = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))

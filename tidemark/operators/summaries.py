@@ -38,8 +38,8 @@ class SetStats:
 
 def feature_matrix(column: pa.Array) -> np.ndarray:
     """Rows x features, NaN for null; all rows have the same number of features."""
-    rows = len(column)
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(rows, -1) if rows else np.zeros((0, 0))
+    rows, flat = len(column), np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)
+    return flat.reshape(rows, len(flat) // rows) if rows else np.zeros((0, 0))
 
 
 def members(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -137,7 +137,7 @@ def set_statistics(rows: DataFrame) -> dict[int, SetStats]:
         ok = np.isfinite(x)
         return {"n": np.array([float(len(x))]), "finite": ok.sum(axis=0, dtype=float), "sum": np.where(ok, x, 0.0).sum(axis=0),
                 "min": np.where(ok, x, np.inf).min(axis=0), "max": np.where(ok, x, -np.inf).max(axis=0),
-                "classes": np.stack([(y == 0).sum(axis=0), (y == 1).sum(axis=0)], axis=1).astype(float)}
+                "classes": np.stack([(y == 0).sum(axis=0), (y == 1).sum(axis=0)], axis=1).astype(float).ravel()}
 
     seen = _per_set(rows, first_look)
     bracket = {s: _Bracket(np.where(v["finite"] > 0, v["min"], 0.0), np.where(v["finite"] > 0, v["max"], 0.0), v["finite"]) for s, v in seen.items()}

@@ -110,7 +110,8 @@ class _Study:
 
     @cached_property
     def common(self) -> tuple[DataFrame, DataFrame]:
-        return K.common_cohort(self.cohort, self.prevalent(), self.group)
+        kept, lost = K.common_cohort(self.cohort, self.prevalent(), self.group)
+        return cut_lineage(kept), lost
 
     @cached_property
     def labelled(self) -> DataFrame:
@@ -126,7 +127,7 @@ class _Study:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return X.hourly_panel(self.events_of_common, self.common[0], self.variables, self.rules.window_hours)
+        return X.hourly_panel(self.feature_events, self.common[0], self.variables, self.rules.window_hours)
 
     def matrix(self, category_levels: dict[str, list[str]] | None = None) -> tuple[DataFrame, X.MatrixNames]:
         if self.rules.window_hours != self.rules.prediction_hour:
@@ -166,9 +167,17 @@ class LabelStudy(_Study):
     def stays(self) -> DataFrame:
         return K.stay_windows(self.cohort, self.rules.max_hours)
 
+    @cached_property
+    def chart_rows(self) -> DataFrame:
+        """The one scan of the chart table."""
+        return C.route_charts(self.t.chartevents, self.cohort, max(self.rules.max_hours, self.rules.window_hours))
+
+    def charted(self, family: str) -> DataFrame:
+        return C.family_of(self.chart_rows, family)
+
     @cached_property
     def weight(self) -> DataFrame:
-        return cut_lineage(C.weights(self.t.chartevents, self.cohort))
+        return cut_lineage(C.weights(self.charted("weight"), self.cohort))
 
     @cached_property
     def labs(self) -> DataFrame:
@@ -177,7 +186,7 @@ class LabelStudy(_Study):
 
     @cached_property
     def charts(self) -> DataFrame:
-        return C.chart(self.t.chartevents, self.cohort, ["fio2", "map"], self.rules.max_hours)
+        return C.chart(self.charted("chart"), self.cohort, ["fio2", "map"], self.rules.max_hours)
 
     @cached_property
     def creatinine(self) -> DataFrame:
@@ -195,8 +204,8 @@ class LabelStudy(_Study):
     def score_inputs(self) -> DataFrame:
         hours = self.rules.max_hours
         return S.score_events(
-            self.labs.unionByName(self.charts), C.gcs_total(self.t.chartevents, self.cohort, hours),
-            C.ventilated_hours(self.t.chartevents, self.cohort, hours), self.urine, self.pressors,
+            self.labs.unionByName(self.charts), C.gcs_total(self.charted("gcs"), self.cohort, hours),
+            C.ventilated_hours(self.charted("ventilation"), self.cohort, hours), self.urine, self.pressors,
         )
 
     @cached_property
@@ -211,8 +220,8 @@ class LabelStudy(_Study):
 
     @cached_property
     def feature_events(self) -> DataFrame:
-        return X.feature_events(self.t.labevents, self.t.chartevents, self.t.outputevents, self.cohort, self.weight,
-                                self.rules.window_hours)
+        return X.feature_events(self.t.labevents, self.charted("chart"), self.t.outputevents, self.cohort, self.weight,
+                                self.rules.window_hours, self.charted("gcs"))
 
     @cached_property
     def static(self) -> DataFrame:

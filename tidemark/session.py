@@ -51,12 +51,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write an intermediate table to the shared folder and go on from there.
+def cut_lineage(df: DataFrame, *parts: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and go on from there; `parts` are columns it is partitioned by.
 
     Later plans start at a Parquet scan: lost executors cost nothing that was done before, columns can
     be pruned, and the true size is known when a join picks its strategy.
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
