@@ -153,14 +153,15 @@ ROLES: dict[str, str] = {
         SELECT patientunitstayid, off AS observationoffset, 70e0 + l_quantity * 3e0 AS noninvasivesystolic, l_quantity + 20e0 AS noninvasivediastolic,
                30e0 + l_quantity * 2e0 AS noninvasivemean
         FROM o_line WHERE l_returnflag = 'R'""",
-    "o_nurse": """
-        SELECT o.patientunitstayid, o.off AS nursingchartoffset, m.name AS nursingchartcelltypevalname,
-               CASE m.name WHEN 'GCS Total' THEN CASE WHEN o.l_partkey % 6 = 0 THEN 'unable' ELSE CAST(CAST(floor(1 + o.l_quantity / 3e0) AS INTEGER) AS VARCHAR(5)) END
-                    WHEN 'Eyes' THEN CAST(1 + o.l_partkey % 4 AS VARCHAR(5)) WHEN 'Verbal' THEN CAST(1 + o.l_partkey % 5 AS VARCHAR(5))
-                    ELSE CAST(1 + o.l_partkey % 6 AS VARCHAR(5)) END AS nursingchartvalue
-        FROM o_line o JOIN (VALUES ('GCS Total', 1), ('Eyes', 2), ('Verbal', 2), ('Motor', 2)) AS m(name, part)
-             ON (m.part = 1 AND o.l_returnflag = 'N' AND o.l_partkey % 2 = 0) OR (m.part = 2 AND o.l_linestatus = 'O')
-        WHERE NOT (m.name = 'Verbal' AND o.l_partkey % 7 = 0)""",
+    "o_nurse": " UNION ALL ".join(f"""
+        SELECT patientunitstayid, off AS nursingchartoffset, CASE WHEN {charted} THEN '{name}' ELSE 'Pain Level' END AS nursingchartcelltypevalname,
+               {value} AS nursingchartvalue FROM o_line""" for name, charted, value in [
+        ("GCS Total", "l_returnflag = 'N' AND l_partkey % 2 = 0",
+         "CASE WHEN l_partkey % 6 = 0 THEN 'unable' ELSE CAST(CAST(floor(1 + l_quantity / 3e0) AS INTEGER) AS VARCHAR(5)) END"),
+        ("Eyes", "l_linestatus = 'O'", "CAST(1 + l_partkey % 4 AS VARCHAR(5))"),
+        ("Verbal", "l_linestatus = 'O' AND l_partkey % 7 <> 0", "CAST(1 + l_partkey % 5 AS VARCHAR(5))"),
+        ("Motor", "l_linestatus = 'O'", "CAST(1 + l_partkey % 6 AS VARCHAR(5))"),
+    ]),
     "o_intake": """
         SELECT patientunitstayid, off AS intakeoutputoffset, l_quantity * 10e0 AS cellvaluenumeric,
                CASE l_partkey % 6 WHEN 0 THEN 'Urine' WHEN 1 THEN 'Foley cath' WHEN 2 THEN 'Oral' WHEN 3 THEN 'Urine irrigant' WHEN 4 THEN 'VOID' ELSE NULL END AS celllabel
