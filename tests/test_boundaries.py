@@ -244,3 +244,16 @@ def test_empty_inputs_give_empty_results(points, frame):
     times = frame("stay_id long, hours double")
     assert L.suspicion_of_infection(times, times).count() == 0
     assert L.suspicion_times(times, times).count() == 0
+
+
+def test_hour_grid_of_the_score_is_spread_over_tasks(spark, frame, monkeypatch):
+    monkeypatch.setattr(S, "HOURS_PER_TASK", 5_000, raising=False)
+    stays = spark.range(300).selectExpr("id AS stay_id", "199.5D AS max_hours").coalesce(1)
+    events = frame("stay_id long, concept string, hours double, value double",
+                   (1, "platelets", -3.0, 10.0), (1, "platelets", 7.5, 40.0), (1, "platelets", 300.0, 10.0), (999, "platelets", 1.0, 10.0))
+    sofa = S.hourly_sofa(events, stays)
+    tasks = sofa.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in tasks) == 300 * 201 and max(r["count"] for r in tasks) <= 3 * 5_000
+    one = {r.hour: r.platelets for r in sofa.where("stay_id = 1").collect()}
+    assert sorted(one) == list(range(201)) and {h for h, v in one.items() if v == 40.0} == set(range(7, 31))
+    assert all(v is None for h, v in one.items() if not 7 <= h < 31)
