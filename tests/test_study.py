@@ -108,3 +108,15 @@ def test_one_chart_scan_serves_every_extractor(spark, frame):
         assert plain(extract(part, cohort)) == plain(extract(charts, cohort)) != []
         plan = str(part._jdf.queryExecution().executedPlan())
         assert "PartitionFilters: [isnotnull(family" in plan
+
+
+def test_lines_and_orders_are_joined_once_for_the_site_study(spark):
+    from tidemark.plans.registry import sites
+    from tidemark.plans.roles import Roles
+
+    folder = "/root/testdata/sf0.001"
+    r, plain = Roles(spark, folder), Roles(spark, folder)
+    sites(r)
+    for name in ("o_lab", "o_nurse", "o_respiratory"):
+        assert "Join" not in getattr(r, name)._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(str, getattr(r, name).collect())) == sorted(map(str, getattr(plain, name).collect()))
