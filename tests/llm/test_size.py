@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, exact, minhash, mixing, pii, token_counts, toxicity
+from tidemark.llm import boosting, bpe, exact, minhash, mixing, pii, token_counts, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -173,3 +173,18 @@ def test_equal_identifiers_draw_apart(spark):
         assert abs(sum(r.taken for r in part) - part[0].target) <= 10 and all(r.taken <= 20 for r in part)
     taken = {i: {r.copies for r in got if r.source == "s" and r.doc_id == i} for i in (None, 7)}
     assert all(len(v) > 1 for v in taken.values())  # not all or none
+
+
+def test_pii_trees_see_every_example(spark, monkeypatch):
+    text = " ".join(f"+1 555 000 {i:04}" for i in range(60))
+    rows = [(i, f"mail a{i}@b.org or call {text}" if i % 2 else f"version {i}.{i + 1} of 2021-03-04") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = {r.doc_id: r.id for r in docs.selectExpr("doc_id", "xxhash64(text) AS id").collect()}
+    got = pii.counted_examples(docs).agg({"n": "sum"}).first()[0]
+    assert got == sum(len(list(pii.examples(ids[i], t))) for i, t in rows) > 40 * pii.MOST_EXAMPLES
+    here = pii.learn(docs)
+    monkeypatch.setattr(pii, "IN_MEMORY", 0)
+    monkeypatch.setattr(pii, "fit", lambda *a: boosting.fit(*a, rounds=2))
+    there = pii.learn(docs)
+    for a, b in zip(here.trees.trees, there.trees.trees):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and np.allclose(a.leaf, b.leaf)
