@@ -120,3 +120,27 @@ def test_lines_and_orders_are_joined_once_for_the_site_study(spark):
     for name in ("o_lab", "o_nurse", "o_respiratory"):
         assert "Join" not in getattr(r, name)._jdf.queryExecution().optimizedPlan().toString()
         assert sorted(map(str, getattr(r, name).collect())) == sorted(map(str, getattr(plain, name).collect()))
+
+
+def test_tasks_of_a_study_read_small_splits_and_sort_nothing_to_write_parts(spark):
+    from tidemark.plans.registry import Query
+    from tidemark.session import cut_lineage
+
+    def written(r):
+        rows = r.spark.range(0, 2_000_000, 1, 1).select("id", F.rand(1).alias("value"), F.rand(2).alias("other"), (F.col("id") % 4).alias("part"))
+        out = cut_lineage(rows.drop("part"))
+        assert out.rdd.getNumPartitions() >= 3
+        assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 1_000_000
+        return cut_lineage(rows, "part")
+
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "parquet.block.size", "spark.sql.maxConcurrentOutputFileWriters")}
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "1")
+    try:
+        parts = Query(written)(spark, "/root/testdata/sf0.001")
+        assert len(parts.inputFiles()) == 4
+        assert [r["count"] for r in parts.groupBy("part").count().collect()] == [500_000] * 4
+        assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "8"
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        for key, value in kept.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
