@@ -15,14 +15,19 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, exact, langid, minhash, mixing
 from tidemark.shipping import ship
-from tidemark.session import apply_settings, cut_lineage
+from tidemark.session import TEXT_SETTINGS, apply_settings, cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings and package, for a stage that runs by itself as for all of them."""
+    return ship(apply_settings(spark, TEXT_SETTINGS))
+
+
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus itself teaches; others go."""
-    ship(spark)
+    prepare(spark)
     learned = langid.learn_profiles(docs.where(~langid.held_out(F.col("doc_id"), 4, 2)))
     return langid.known_language(docs.select(*COLUMNS), learned)
 
@@ -41,13 +46,13 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    ship(spark)
+    prepare(spark)
     return exact.drop_copies(with_key(docs), "_key").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    ship(spark)
+    prepare(spark)
     return minhash.drop_near_copies(with_key(docs), "_key").select(*COLUMNS)
 
 
@@ -61,7 +66,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and decoded texts as digests, one row per taken copy."""
-    ship(spark)
+    prepare(spark)
     return bpe.encoding_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -75,7 +80,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(apply_settings(spark))
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))

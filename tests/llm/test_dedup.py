@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact, minhash
 
@@ -82,3 +83,42 @@ def test_links_that_only_the_second_comparison_finds(spark):
     label = spark.createDataFrame([], "node long, component long")
     found = {(r["hub"], r["member"]) for r in minhash.possible_pairs(checked, label).collect()}
     assert found == {(10, 11), (10, 12), (11, 12)}
+
+
+def test_near_dedup_holds_few_shingles_at_once_whatever_the_batch(monkeypatch):
+    import tracemalloc
+
+    from tidemark.llm import arrays
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 600).tolist())) for _ in range(1000)]
+    ids = list(range(1000))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["doc_id", "text"])
+    pairs = pa.RecordBatch.from_arrays([pa.array([0] * 1000), pa.array(ids), pa.array(texts)], names=["hub", "member", "text"])
+    whole = {}
+    for name, run, rows in (("sign", minhash._sign, batch), ("compare", minhash._compare, pairs)):
+        for limit in (minhash.SET_BYTES, 1 << 30):
+            monkeypatch.setattr(minhash, "SET_BYTES", limit)
+            monkeypatch.setattr(arrays, "_powers", {})
+            tracemalloc.start()
+            whole[name, limit] = [r for b in run([rows]) for r in b.to_pylist()]
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert limit == 1 << 30 or peak < 160e6, (name, peak)
+        monkeypatch.undo()
+        assert len(whole[name, 1 << 30]) == (1000 if name == "sign" else 999)
+        assert whole[name, minhash.SET_BYTES] == whole[name, 1 << 30]
+
+
+def test_pipeline_stages_hand_texts_over_in_small_batches(spark):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    try:
+        corpus_pipeline.prepare(spark)
+        docs = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("abc "), 1000).alias("text"))
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n bigint").collect()
+        assert len(sizes) >= 3 and max(r["n"] for r in sizes) < 6_000_000
+    finally:
+        spark.conf.set(name, was)

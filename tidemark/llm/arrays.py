@@ -17,6 +17,7 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
+POWER_STEP = 1 << 18  # tables of powers grow by this many
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -55,7 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        grown = np.full(max(n, PORTION_BYTES + 1), base, np.uint64)
+        grown = np.full(-(-n // POWER_STEP) * POWER_STEP, base, np.uint64)
         grown[0] = 1
         have = _powers[name] = np.cumprod(grown)
     return have[:n]

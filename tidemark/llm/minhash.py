@@ -38,6 +38,7 @@ WIDTH = 5
 BINS, ROWS = 128, 4
 NUMBER, OUT_OF = 75, 100  # linked at NUMBER / OUT_OF of the union or more
 HUB_SPREAD = 500  # members confirmed against one copy of their hub
+SET_BYTES = 1 << 20  # text whose shingles a task holds at once: some forty times that in temporary arrays
 HUB_COPIES = 32  # tasks that share the members of one hub
 NAMELESS = 1 << 62  # keys of rows without identifier, above every identifier
 SIGNATURES = "doc_id bigint, n bigint, set_a bigint, set_b bigint, bands array<bigint>"
@@ -110,7 +111,7 @@ def bands_of(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in portions(batch, batch.schema.names[1]):
+        for part in portions(batch, batch.schema.names[1], SET_BYTES):
             values, first = shingle_sets(part.column(1))
             size = np.diff(first)
             total = np.zeros((2, len(values) + 1), np.uint64)
@@ -132,13 +133,13 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     current, hub_set = None, None
     for batch in batches:
-        found: list[tuple] = []
-        for part in portions(batch, "text"):
+        for part in portions(batch, "text", SET_BYTES):
+            found: list[tuple] = []
             values, first = shingle_sets(part.column("text"))
             for i, (hub, member) in enumerate(zip(part.column("hub").to_pylist(), part.column("member").to_pylist(), strict=True)):
                 own = values[first[i]:first[i + 1]]
                 if member == hub:
-                    current, hub_set = hub, own
+                    current, hub_set = hub, own.copy()  # not the whole portion
                 elif hub == current:
                     at = np.searchsorted(hub_set, own)
                     at[at == len(hub_set)] = 0
@@ -146,9 +147,9 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     both = int(inside.sum())
                     least = max(1, -(-NUMBER * len(own) // OUT_OF) - both)
                     found.append((hub, member, len(hub_set), len(own), both, own[~inside][:max(0, len(own) - both - least + 1)].view(np.int64)))
-        columns = list(zip(*found, strict=True)) if found else [[]] * 6
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.list_(pa.int64()))],
-                                         names=["hub", "member", "hub_n", "n", "both", "prefix"])
+            columns = list(zip(*found, strict=True)) if found else [[]] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.list_(pa.int64()))],
+                                             names=["hub", "member", "hub_n", "n", "both", "prefix"])
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
