@@ -144,3 +144,25 @@ def test_tasks_of_a_study_read_small_splits_and_sort_nothing_to_write_parts(spar
         spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
         for key, value in kept.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_shuffles_of_a_study_follow_the_rows_of_its_tables(spark, monkeypatch):
+    from tidemark import session
+
+    monkeypatch.setattr(session, "ROWS_PER_PARTITION", 50, raising=False)
+    number = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    merge = ("spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    kept = {k: spark.conf.get(k, None) for k in (*session.SETTINGS, *session.STUDY_SETTINGS, *merge, number)}
+    try:
+        onsets = QUERIES["baseline_and_onset"](spark, FOLDER)
+        used = sum(spark.read.parquet(f"{FOLDER}/{t}.parquet").count() for t in ("events", "customer"))
+        assert int(spark.conf.get(number)) == -(-used // 50) > 4
+        for key, value in zip((*merge, "spark.sql.adaptive.advisoryPartitionSizeInBytes"), ("false", "1", "1")):
+            spark.conf.set(key, value)
+        assert onsets.rdd.getNumPartitions() > 4  # the session's own number of partitions
+        monkeypatch.undo()
+        QUERIES["baseline_and_onset"](spark, FOLDER)
+        assert spark.conf.get(number) == spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    finally:
+        for key, value in kept.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
