@@ -1,6 +1,9 @@
 """Bootstrap weights and the ordered merge against direct computation."""
 
+import copy
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.functions import replicates as R
@@ -103,3 +106,94 @@ def test_numbers_are_dense(spark):
     keys = spark.createDataFrame([(f"k{i}",) for i in range(500)] + [(None,)], "k string")
     got = [r["i"] for r in numbered(keys, "k", "i").collect()]
     assert sorted(got) == list(range(501))
+
+
+def test_the_work_on_weights_is_shared_by_the_rows_of_a_unit(spark, monkeypatch):
+    """A tree of n leaves is split n - 1 times for each draw, however many cells and chunks the rows of a unit are in."""
+    monkeypatch.setattr(R, "CHUNK_ROWS", 2000)
+    n, draws, split, located = 5000, 3, spark.sparkContext.accumulator(0), R.located
+
+    def counting(*args):
+        rows, weights = located(*args)
+        plain = copy.copy(weights)
+
+        def left(node, count, *rest):
+            split.add(count.size)
+            return R.TreeWeights._left(plain, node, count, *rest)
+
+        weights._left = left
+        return rows, weights
+
+    monkeypatch.setattr(R, "located", counting)
+    rng = np.random.default_rng(3)
+    pred = spark.createDataFrame([(c, i, int(rng.integers(0, 2)), float(rng.random())) for c in range(6) for i in range(n)], "cell int, unit_id int, y int, score double")
+    assert I.replicate_auroc(pred, draws - 1, 0, "multinomial", ["cell"], "unit").count() == 6 * draws
+    assert 0 < split.value <= n * draws
+
+
+@pytest.mark.parametrize("step,nodes", [(3, 2), (8, 64), (1 << 11, 512)])
+@pytest.mark.parametrize("counted", [False, True])
+def test_runs_of_chunks_and_blocks_of_draws_merge(spark, monkeypatch, step, nodes, counted):
+    """Chunks cut anywhere, scores with more rows than a step, rows that count more than once or not at all."""
+    monkeypatch.setattr(R, "STEP", step)
+    monkeypatch.setattr(R, "NODES", nodes)
+    rng, n, draws = np.random.default_rng(step), 60, 7
+    tree = R.TreeWeights(n, draws - 1, 4, R.segment_totals(spark, n, draws - 1, 4))
+    cell, unit = np.repeat(["x", "y"], n), np.tile(np.arange(n), 2)
+    score, y = np.where(rng.random(2 * n) < 0.4, 1.0, np.round(rng.normal(1, 1, 2 * n), 1)), rng.integers(0, 2, 2 * n).astype(float)
+    count = rng.integers(0, 300, 2 * n) if counted else np.ones(2 * n, np.int64)
+    order = np.lexsort((score, cell))
+    table = pa.table({"cell": cell[order], "_score": score[order], "_y": y[order], "_n": count[order], "_a": unit[order], "_b": np.zeros(2 * n, np.int64)})
+    for size in (1, 7, 50, 200):
+        runs = pa.Table.from_batches([R._runs(table.slice(i, size), ["cell"], tree) for i in range(0, 2 * n, size)])
+        pieces = pa.concat_tables(pa.Table.from_batches([b]) for a, e in ((0, 3), (3, 7)) for b in R._counted(runs, ["cell"], tree, a, e))
+        pieces = pieces.sort_by([(c, "ascending") for c in ("cell", "_first", "lo", "hi")])
+        got = {(r["cell"], r["rep"]): r["auroc"] for b in R._merged(pieces.combine_chunks().to_batches(), ["cell"]) for r in b.to_pylist()}
+        assert len(got) == 2 * draws
+        weights = tree.matrix(unit[:, None], 0, draws)
+        for (c, rep), value in got.items():
+            part = cell == c
+            assert value == pytest.approx(weighted_auroc(y[part], score[part], count[part] * weights[part, rep]))
+
+
+def test_weights_beyond_a_byte(monkeypatch):
+    monkeypatch.setattr(R, "NODES", 1)
+    tree = R.TreeWeights(4, 5, 2, np.full((1, 6), 1300))
+    w = tree.table(np.arange(4), 1, 6)
+    assert w.max() > 255 and (w.sum(axis=0) == 1300).all()
+    np.testing.assert_array_equal(tree.table(np.array([1, 3]), 1, 6), w[[1, 3]])
+
+
+def unmixed(x):
+    """The word that `mix32` turns into x."""
+    fold = lambda x: x ^ (x >> np.uint32(16))
+    back = np.uint32(pow(R.MULTIPLIER, -1, 1 << 32))
+    return fold(fold(fold(np.array([x], np.uint32)) * back) * back)
+
+
+@pytest.mark.parametrize("n", [3, 1000, 70_001])
+def test_balls_per_segment(n):
+    ends = [first + (1 << k) for k, first in R.segments(n)]
+    at_cut = unmixed(int(unmixed(R._cuts(n)[0][1])[0]) ^ R.BALL)[0]  # ball 0 needs its second word
+    for state in (at_cut, *R._draw_states(3, 8)):
+        ball = R.mix32(np.arange(n, dtype=np.uint32) ^ state)
+        high, low = (R.mix32(ball ^ np.uint32(R.BALL + i)).astype(np.int64) for i in (0, 1))
+        place = np.floor(((high << 21) + (low >> 11)) / float(1 << 53) * n)
+        np.testing.assert_array_equal(R._balls(n, state), np.bincount(np.searchsorted(ends, place, "right"), minlength=len(ends)))
+    assert R.mix32(R.mix32(np.zeros(1, np.uint32) ^ at_cut) ^ np.uint32(R.BALL))[0] == R._cuts(n)[0][1]
+
+
+@pytest.mark.parametrize("rows", [3, 400])
+def test_distinct_units(rows):
+    """Few rows of many units are sorted, many are marked."""
+    ids = np.random.default_rng(rows).integers(0, 100, rows).astype(np.uint32)
+    for weights in (R.TreeWeights(100, 1, 0, np.zeros((3, 2), np.int64)), R.PoissonWeights(1)):
+        own, back = weights.distinct(ids.astype(weights.kind))
+        np.testing.assert_array_equal(own, np.unique(ids))
+        np.testing.assert_array_equal(own[back], ids)
+
+
+@pytest.mark.parametrize("level,method", PAIRS)
+def test_no_rows(spark, level, method):
+    none = spark.createDataFrame([], "label string, unit_id string, cluster int, y int, score double")
+    assert I.replicate_auroc(none, 3, 0, method, ["label"], level).count() == 0
